@@ -30,6 +30,7 @@ _SLASH_COMMENT = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 _REGEX_LITERAL = (
     r"/(?![*/])(?<=[(,=:\[!&|?{};]\s{0,8}/|\breturn\s{1,8}/)(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
 )
+_DIRECTIVE = r"#(?:[^\n\\]++|\\.)*+"
 _RAW_CPP = r'R"([^()\\\s]{0,16})\((?:(?!\)\1").)*+\)\1"'
 
 
@@ -42,7 +43,7 @@ TOKENS = {
     "python": _tokens("\"'#", _TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE, r"#[^\n]*+"),
     "javascript": _tokens("\"'`/", _SLASH_COMMENT, _DOUBLE, _SINGLE, _TEMPLATE, _REGEX_LITERAL),
     "java": _tokens("\"'/", _SLASH_COMMENT, _TRIPLE_DOUBLE, _DOUBLE, _SINGLE),
-    "c++": _tokens("\"'/R", _SLASH_COMMENT, _RAW_CPP, _DOUBLE, _SINGLE),
+    "c++": _tokens("\"'/R#", _SLASH_COMMENT, _RAW_CPP, _DOUBLE, _SINGLE, _DIRECTIVE),
 }
 
 BRACKET_DEPTH = 8
@@ -67,15 +68,18 @@ def replace_matches(text: Column, pattern: str, change) -> Column:
 
 
 def is_comment(token: Column, language: str) -> Column:
+    """Whether a token is blanked: a comment, or in C++ a directive."""
+    hash_sign = F.startswith(token, F.lit("#"))
     if language == "python":
-        return F.startswith(token, F.lit("#"))
-    return F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
+        return hash_sign
+    slashes = F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
+    return slashes | hash_sign if language == "c++" else slashes
 
 
 def mask(text: Column, language: str) -> Column:
     """Blank comments and overwrite string literals, keeping every offset.
 
-    Comments become spaces (their line breaks stay).  String literals become
+    Comments (and C++ directives) become spaces (their line breaks stay).  String literals become
     runs of double quotes whose inner line breaks are ``JOINED``.
     """
 

@@ -158,7 +158,7 @@ def normalised_python(code: Column) -> Column:
             lambda m: F.when(lexical.is_comment(m, "python"), F.lit("")).otherwise(m),
         )
         return F.array_join(
-            F.zip_with(F.transform(parts["between"], tidy), F.concat(kept, F.array(F.lit(""))), F.concat), ""
+            F.zip_with(F.transform(parts["between"], tidy), F.concat(kept, F.array(F.lit(""))), lambda b, m: F.concat(b, m)), ""
         )
 
     pattern = lexical.TOKENS["python"]

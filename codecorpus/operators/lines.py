@@ -16,7 +16,8 @@ def explode_lines(files: DataFrame) -> DataFrame:
     """One row per ``\\n``-delimited line: number from 1, first character, indent and flags.
 
     ``is_code`` is false for blank lines, lines of comment and lines that begin
-    inside a string.  Comments and strings are those of the file's language.
+    inside a string.  Comments and strings are those of the file's language; a
+    C++ directive is code.
     """
     key = F.lower(language_column(files))
     content = F.col("content")
@@ -48,7 +49,10 @@ def explode_lines(files: DataFrame) -> DataFrame:
                     F.length(F.regexp_extract(line, r"^[ \t]*", 0)).alias("indent"),
                     line.alias("text"),
                     (~line.rlike(r"\S")).alias("is_blank"),
-                    F.coalesce(F.get(p["flags"], i), F.lit(False)).alias("is_code"),
+                    (
+                        F.coalesce(F.get(p["flags"], i), F.lit(False))
+                        | (key.isin("c++", "cpp") & line.rlike(r"\A[ \t]*#"))
+                    ).alias("is_code"),
                 ),
             ),
         )
