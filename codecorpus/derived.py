@@ -7,6 +7,8 @@ line items without reading the text.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
 def _block(suffix: str) -> Column:
     import re
 
@@ -45,13 +48,20 @@ def _block(suffix: str) -> Column:
     return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
 
 
-def _by_suffix(suffix: Column) -> Column:
+@cache
+def _rendering() -> Column:
+    """The block of a line item in the language of its order."""
+    suffix = _suffix_of_order()
     chain = None
     for s in SUFFIXES:
         chain = F.when(suffix == s, _block(s)) if chain is None else chain.when(suffix == s, _block(s))
     return chain
 
 
+def _suffix_of_order() -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER)
@@ -66,7 +76,7 @@ def _text(block: Column) -> Column:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, path, size, content of the rendered files."""
     key = F.col("o_orderkey")
-    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (key % 8 + 1).cast("int"))
+    suffix = _suffix_of_order()
     folder = (
         F.when(key % 13 == 0, F.lit("node_modules"))
         .when(key % 13 == 1, F.lit(".git"))
@@ -74,7 +84,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     repo = F.concat(F.lit("repo"), (F.col("o_custkey") % 20).cast("string"))
     rendered = _items(spark, sf_dir).groupBy("o_orderkey", "o_custkey").agg(
-        _text(_by_suffix(suffix)).alias("content")
+        _text(_rendering()).alias("content")
     )
     return rendered.select(
         repo.alias("repo"),
@@ -100,14 +110,14 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pair per order: its file, and as conversion its Java or JavaScript rendering,
     a text without any code, or the same file with a comment on top."""
     key = F.col("o_orderkey")
-    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (key % 8 + 1).cast("int"))
+    suffix = _suffix_of_order()
     kind = F.floor(key / 8).cast("long") % 4
     comment = F.when(key % 8 == 0, F.lit("# note\n")).otherwise(F.lit("// note\n"))
     rendered = (
         _items(spark, sf_dir)
         .groupBy("o_orderkey")
         .agg(
-            _text(_by_suffix(suffix)).alias("original_code"),
+            _text(_rendering()).alias("original_code"),
             _text(_block(".java")).alias("java"),
             _text(_block(".js")).alias("js"),
         )

@@ -81,20 +81,35 @@ def imports(content: Column, hidden: Column, language: Column) -> Column:
     )
 
 
-def import_spans(content: Column, hidden: Column, language: str) -> Column:
-    """Whole import statements as ``array<struct<start, end>>``, for use as context."""
-    source, pattern = {
-        "python": (hidden, PYTHON_IMPORT),
-        "javascript": (hidden, SCRIPT_IMPORT_STATEMENT),
-        "java": (hidden, JAVA_IMPORT_STATEMENT),
-        "c++": (content, dialect(fixed.CPP_INCLUDE)),
-    }[language]
-    return F.transform(
-        matches(source, pattern),
-        lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end")),
+def import_parts(content: Column, hidden: Column, language: Column) -> Column:
+    """Whole import statements, set off by marks, for use as context."""
+    key = F.lower(language)
+    return (
+        F.when(key == "python", lexical.marked(hidden, PYTHON_IMPORT, 0))
+        .when(key == "javascript", lexical.marked(hidden, SCRIPT_IMPORT_STATEMENT, 0))
+        .when(key == "java", lexical.marked(hidden, JAVA_IMPORT_STATEMENT, 0))
+        .when(
+            key.isin("c++", "cpp"),
+            lexical.marked(lexical.exchange(content, lexical.MARK, lexical.NOT_MARK), dialect(fixed.CPP_INCLUDE), 0),
+        )
     )
 
 
+def import_spans(parts: Column, at: Column) -> Column:
+    """Import statements as ``array<struct<start, end, start_line, end_line>>``."""
+
+    def span(end: Column, i: Column) -> Column:
+        text = F.get(parts, i * 2 + 1)
+        return F.struct(
+            (lexical.offset_of(end) - F.length(text)).alias("start"),
+            lexical.offset_of(end).alias("end"),
+            (lexical.line_of(end) - lexical.line_breaks(text)).alias("start_line"),
+            lexical.line_of(end).alias("end_line"),
+        )
+
+    return F.transform(at, span)
+
+
 # --- calls ------------------------------------------------------------------
 
 PYTHON_WORDS = (

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
-from codecorpus.functions.arrays import let, running_sum
+from codecorpus.functions.arrays import running_sum
 from codecorpus.functions.lexical import line_breaks, line_of, matches, offset_of
 from codecorpus.functions.text import WORD, code_pattern, dialect, newline_count, strip, word_class
 
-SEGMENT_TYPE = "struct<node_type:string,name:string,start_char:int,end_char:int,start_line:int,end_line:int>"
-
 # --- indentation ------------------------------------------------------------
 
 # What follows a header on its own line, then any number of: blank lines and a
@@ -44,6 +42,11 @@ PYTHON_ASSIGNMENT = code_pattern(
 )
 
 
+# Every pattern for definitions has three groups, so one rule reads all languages.
+GROUPS = 3
+STRIDE = GROUPS + 2
+
+
 def masked(content: Column, language: Column) -> Column:
     """The text that definitions are looked for in; NULL for languages without such a rule."""
     key = F.lower(language)
@@ -55,6 +58,17 @@ def masked(content: Column, language: Column) -> Column:
     )
 
 
+def definition_parts(hidden: Column, language: Column) -> Column:
+    """Matches of the language's definition pattern in the masked text, set off by marks."""
+    key = F.lower(language)
+    return (
+        F.when(key == "python", lexical.marked(hidden, PYTHON_DEFINITION, GROUPS))
+        .when(key == "javascript", lexical.marked(hidden, JAVASCRIPT_TOKEN, GROUPS))
+        .when(key == "java", lexical.marked(hidden, JAVA_TOKEN, GROUPS))
+        .when(key.isin("c++", "cpp"), lexical.marked(hidden, CPP_TOKEN, GROUPS))
+    )
+
+
 def _segment(node_type: Column, name: Column, start: Column, end: Column, first: Column, last: Column) -> Column:
     return F.struct(
         node_type.alias("node_type"),
@@ -66,36 +80,34 @@ def _segment(node_type: Column, name: Column, start: Column, end: Column, first:
     )
 
 
-def python_definitions(hidden: Column) -> Column:
-    def block(m: Column) -> Column:
-        kind = F.when(
-            F.startswith(F.substring(m["text"], F.length(m["indent"]) + 1, F.lit(5)), F.lit("class")),
-            F.lit("class_definition"),
-        ).otherwise(F.lit("function_definition"))
+def _part(parts: Column, i: Column, k: int) -> Column:
+    return F.get(parts, i * STRIDE + k)
+
+
+def indented_definitions(parts: Column, at: Column) -> Column:
+    """Python definitions; the groups are indent, name and the block after the header."""
+
+    def block(end: Column, i: Column) -> Column:
+        text, indent, name, body = (_part(parts, i, k) for k in (1, 2, 3, 4))
+        is_class = F.startswith(F.ltrim(text), F.lit("class")) | F.startswith(F.ltrim(text, F.lit("\t ")), F.lit("class"))
         return _segment(
-            kind,
-            m["name"],
-            m["start"] + F.length(m["indent"]),
-            m["start"] + F.length(m["text"]) + F.length(m["block"]),
-            m["line"],
-            m["line"] + line_breaks(m["block"]),
+            F.when(is_class, F.lit("class_definition")).otherwise(F.lit("function_definition")),
+            name,
+            offset_of(end) - F.length(text) + F.length(indent),
+            offset_of(end) + F.length(body),
+            line_of(end),
+            line_of(end) + line_breaks(body),
         )
 
-    return F.transform(matches(hidden, PYTHON_DEFINITION, ("indent", "name", "block")), block)
+    return F.transform(at, block)
 
 
 def python_assignments(hidden: Column) -> Column:
-    """Assignment statements, as spans of whole lines."""
+    """Assignment statements as ``array<struct<start_line, end_line>>``."""
 
     def statement(m: Column) -> Column:
-        return _segment(
-            F.lit("assignment"),
-            F.lit(None).cast("string"),
-            m["start"],
-            m["start"] + F.length(m["text"]) + F.length(m["block"]),
-            m["line"],
-            m["line"] + line_breaks(m["text"]) + line_breaks(m["block"]),
-        )
+        last = m["line"] + line_breaks(m["text"]) + line_breaks(m["block"])
+        return F.struct(m["line"].alias("start_line"), last.alias("end_line"))
 
     return F.transform(matches(hidden, PYTHON_ASSIGNMENT, ("indent", "block")), statement)
 
@@ -127,36 +139,29 @@ _TYPE = rf"{NAME}(?:(?:::|\.){NAME})*+(?:\s*+<[^;{{}}()=]*?>)?(?:\s*+\[\s*+\])*+
 
 # Every token is a header with its opening brace, a single brace, or the
 # construction of an object, which must not be taken for a constructor.
-BRACED_TOKENS = {
-    "javascript": {
-        "pattern": code_pattern(
-            rf"[{{}}]|{NAME_BEGINS}(?:(?:async\s++)?function\b\s*+({NAME})?\s*+{PARAMETERS}\s*+\{{"
-            rf"|class\s++({NAME})(?:\s++extends\s++[^{{;]++)?\s*+\{{"
-            rf"|(?:(?:static|async|get|set)\s++)*+(?=#?{NAME}\s*+\(){_NO_CONTROL}(#?{NAME})\s*+{PARAMETERS}\s*+\{{)"
-        ),
-        "groups": ("function", "class", "method"),
-    },
-    "java": {
-        "pattern": code_pattern(
-            rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|{_JAVA_MODIFIERS}(?:class\s++({NAME})[^{{;()]*+\{{"
-            rf"|(?:<[^;{{}}()]*?>\s*+)?(?={_TYPE}\s++{NAME}\s*+\(){_NO_CONTROL}{_TYPE}\s++{_NO_CONTROL}({NAME})\s*+"
-            rf"{PARAMETERS}(?:\s*+\[\s*+\])*+(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{"
-            rf"|(?={NAME}\s*+\(){_NO_CONTROL}({NAME})\s*+{PARAMETERS}(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{))"
-        ),
-        "groups": ("class", "method", "constructor"),
-    },
-    "c++": {
-        "pattern": code_pattern(
-            rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|enum\s++class\b"
-            rf"|class\s++(?:\[\[[^\]]*+\]\]\s*+)?({NAME})[^{{;()]*+\{{"
-            rf"|{_NO_CONTROL}(?:{_TYPE}(?:\s*+[*&]++\s*+|\s++)){{0,8}}?(?=[\w~:]++\s*+\(|operator\b){_NO_CONTROL}"
-            rf"((?:{NAME}::)*+(?:~?{NAME}|operator\s*+[^\s\w(]++))\s*+{PARAMETERS}"
-            r"(?:\s*+(?:const|override|final|noexcept|volatile|&&?|->\s*+[\w:<>*& ]++))*+"
-            r"(?:\s*+:(?!:)[^{};]*+)?\s*+\{)"
-        ),
-        "groups": ("class", "function"),
-    },
-}
+# Groups: function, class, method.
+JAVASCRIPT_TOKEN = code_pattern(
+    rf"[{{}}]|{NAME_BEGINS}(?:(?:async\s++)?function\b\s*+({NAME})?\s*+{PARAMETERS}\s*+\{{"
+    rf"|class\s++({NAME})(?:\s++extends\s++[^{{;]++)?\s*+\{{"
+    rf"|(?:(?:static|async|get|set)\s++)*+(?=#?{NAME}\s*+\(){_NO_CONTROL}(#?{NAME})\s*+{PARAMETERS}\s*+\{{)"
+)
+# Groups: method, class, constructor.
+JAVA_TOKEN = code_pattern(
+    rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|{_JAVA_MODIFIERS}(?:(?:<[^;{{}}()]*?>\s*+)?"
+    rf"(?={_TYPE}\s++{NAME}\s*+\(){_NO_CONTROL}{_TYPE}\s++{_NO_CONTROL}({NAME})\s*+"
+    rf"{PARAMETERS}(?:\s*+\[\s*+\])*+(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{"
+    rf"|class\s++({NAME})[^{{;()]*+\{{"
+    rf"|(?={NAME}\s*+\(){_NO_CONTROL}({NAME})\s*+{PARAMETERS}(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{))"
+)
+# Groups: function, class, none.
+CPP_TOKEN = code_pattern(
+    rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|enum\s++class\b"
+    rf"|(?!class\b){_NO_CONTROL}(?:{_TYPE}(?:\s*+[*&]++\s*+|\s++)){{0,8}}?(?=[\w~:]++\s*+\(|operator\b){_NO_CONTROL}"
+    rf"((?:{NAME}::)*+(?:~?{NAME}|operator\s*+[^\s\w(]++))\s*+{PARAMETERS}"
+    r"(?:\s*+(?:const|override|final|noexcept|volatile|&&?|->\s*+[\w:<>*& ]++))*+"
+    r"(?:\s*+:(?!:)[^{};]*+)?\s*+\{"
+    rf"|class\s++(?:\[\[[^\]]*+\]\]\s*+)?({NAME})[^{{;()]*+\{{())"
+)
 
 # What stands before a JavaScript function or class that is part of an expression.
 EXPRESSION_BEFORE = code_pattern(
@@ -164,89 +169,68 @@ EXPRESSION_BEFORE = code_pattern(
 )
 
 
-def _node_type(token: Column, language: str) -> Column:
-    if language == "javascript":
-        expression = token["before"].rlike(EXPRESSION_BEFORE)
-        anonymous = token["function"] == ""
-        return (
-            F.when(
-                F.contains(token["text"], F.lit("function")) & (token["method"] == "") & (token["class"] == ""),
-                F.when(expression | anonymous, F.lit("function_expression")).otherwise(F.lit("function_declaration")),
-            )
-            .when((token["class"] != "") & ~expression, F.lit("class_declaration"))
-            .when(token["method"] != "", F.lit("method_definition"))
+def _node_type(language: Column, before: Column, text: Column, first: Column, second: Column, third: Column) -> Column:
+    """Type of a header by the group that is filled; NULL for what is no segment."""
+    key = F.lower(language)
+    expression = F.right(before, F.lit(40)).rlike(EXPRESSION_BEFORE)
+    return (
+        F.when(
+            second != "",
+            F.when(key.isin("c++", "cpp"), F.lit("class_specifier")).when(
+                (key != "javascript") | ~expression, F.lit("class_declaration")
+            ),
         )
-    if language == "java":
-        return (
-            F.when(token["class"] != "", F.lit("class_declaration"))
-            .when(token["method"] != "", F.lit("method_declaration"))
-            .when(token["constructor"] != "", F.lit("constructor_declaration"))
+        .when(
+            third != "",
+            F.when(key == "java", F.lit("constructor_declaration")).otherwise(F.lit("method_definition")),
         )
-    return F.when(token["class"] != "", F.lit("class_specifier")).when(
-        token["function"] != "", F.lit("function_definition")
+        .when((first != "") & (key == "java"), F.lit("method_declaration"))
+        .when((first != "") & (key != "javascript"), F.lit("function_definition"))
+        .when((first != "") & ~expression, F.lit("function_declaration"))
+        .when((key == "javascript") & F.contains(text, F.lit("function")), F.lit("function_expression"))
     )
 
 
-def braced_definitions(hidden: Column, language: str) -> Column:
+def brace_depths(parts: Column, at: Column) -> Column:
+    """Depth after each token."""
+
+    def change(_, i: Column) -> Column:
+        token = _part(parts, i, 1)
+        return F.when(token == "}", F.lit(-1)).when(F.endswith(token, F.lit("{")), F.lit(1)).otherwise(F.lit(0))
+
+    return running_sum(F.transform(at, change))
+
+
+def braced_definitions(language: Column, parts: Column, at: Column, depths: Column) -> Column:
     """Headers with the text up to the brace that closes them.
 
     Depth changes by at most one per token, so the closing brace of a token at
     depth d is the first later token whose depth is d - 1.
     """
-    rule = BRACED_TOKENS[language]
-    groups = rule["groups"]
-    stride = len(groups) + 2
-
-    def segments(s: Column) -> Column:
-        def part(i: Column, k: int) -> Column:
-            return F.get(s["parts"], i * stride + k)
-
-        def header(end: Column, i: Column) -> Column:
-            token = F.struct(
-                F.right(part(i, 0), F.lit(40)).alias("before"),
-                part(i, 1).alias("text"),
-                *[part(i, k + 2).alias(g) for k, g in enumerate(groups)],
-            )
-            level = F.get(s["depth"], i)
-            skip = F.array_position(F.slice(s["depth"], i + 2, F.size(s["depth"])), level - 1).cast("int")
-            found = F.struct(
-                token.alias("token"), _node_type(token, language).alias("kind"), F.when(skip > 0, i + skip).alias("close")
-            )
-
-            def located(t: Column) -> Column:
-                names = [F.when(t["token"][g] != "", t["token"][g]) for g in groups]
-                return F.when(
-                    t["kind"].isNotNull() & t["close"].isNotNull(),
-                    _segment(
-                        t["kind"],
-                        F.coalesce(*names, F.lit(fixed.ANONYMOUS)),
-                        offset_of(end) - F.length(t["token"]["text"]),
-                        offset_of(F.get(s["at"], t["close"])),
-                        line_of(end) - line_breaks(t["token"]["text"]),
-                        line_of(F.get(s["at"], t["close"])),
-                    ),
-                )
-
-            return F.when(F.length(part(i, 1)) > 1, let(found, located))
-
-        return F.filter(F.transform(s["at"], header), lambda x: x.isNotNull())
-
-    def with_depth(p: Column) -> Column:
-        depth = F.transform(
-            p["at"],
-            lambda _, i: let(
-                F.get(p["parts"], i * stride + 1),
-                lambda m: F.when(m == "}", F.lit(-1)).when(F.endswith(m, F.lit("{")), F.lit(1)).otherwise(F.lit(0)),
+
+    def header(end: Column, i: Column) -> Column:
+        before, text, first, second, third = (_part(parts, i, k) for k in range(STRIDE))
+        later = F.slice(depths, i + 2, F.size(depths))
+        skip = F.array_position(later, F.get(depths, i) - 1).cast("int")
+        name = F.when(first != "", first).when(second != "", second).when(third != "", third)
+        return F.when(
+            F.length(text) > 1,
+            F.struct(
+                _node_type(language, before, text, first, second, third).alias("kind"),
+                F.coalesce(name, F.lit(fixed.ANONYMOUS)).alias("name"),
+                (offset_of(end) - F.length(text)).alias("start"),
+                (line_of(end) - line_breaks(text)).alias("line"),
+                F.get(at, F.when(skip > 0, i + skip)).alias("close"),
             ),
         )
-        return let(
-            F.struct(p["parts"].alias("parts"), p["at"].alias("at"), running_sum(depth).alias("depth")), segments
-        )
 
-    return let(
-        lexical.marked(hidden, rule["pattern"], len(groups)),
-        lambda parts: let(
-            F.struct(parts.alias("parts"), lexical.positions(parts, len(groups)).alias("at")), with_depth
+    def complete(h: Column) -> Column:
+        return h.isNotNull() & h["kind"].isNotNull() & h["close"].isNotNull()
+
+    return F.transform(
+        F.filter(F.transform(at, header), complete),
+        lambda h: _segment(
+            h["kind"], h["name"], h["start"], offset_of(h["close"]), h["line"], line_of(h["close"])
         ),
     )
 
@@ -287,23 +271,20 @@ def whole_file(content: Column, file_name: Column) -> Column:
     )
 
 
-def segments(content: Column, hidden: Column, language: Column, file_name: Column) -> Column:
-    """Segments in source order, by the rule of the file's language, with its fallback.
-
-    ``hidden`` is the masked text of the file.
-    """
-    whole = whole_file(content, file_name)
+def definitions(language: Column, parts: Column, at: Column, depths: Column) -> Column:
+    """Segments by the rule of the language, without fallback; NULL where there is no rule."""
+    return F.when(F.lower(language) == "python", indented_definitions(parts, at)).when(
+        parts.isNotNull(), braced_definitions(language, parts, at, depths)
+    )
 
-    def or_else(found: Column, fallback: Column) -> Column:
-        return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(fallback))
 
+def or_fallback(found: Column, content: Column, language: Column, file_name: Column) -> Column:
+    """The segments found, else pattern matches (JavaScript), nothing (Python) or the whole file."""
     key = F.lower(language)
     return (
-        F.when(key == "python", python_definitions(hidden))
-        .when(key == "javascript", or_else(braced_definitions(hidden, "javascript"), script_matches(content)))
-        .when(key == "java", or_else(braced_definitions(hidden, "java"), whole))
-        .when(key.isin("c++", "cpp"), or_else(braced_definitions(hidden, "c++"), whole))
-        .otherwise(whole)
+        F.when((key == "python") | (F.size(found) > 0), found)
+        .when(key == "javascript", script_matches(content))
+        .otherwise(whole_file(content, file_name))
     )
 
 

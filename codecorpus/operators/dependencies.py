@@ -6,6 +6,8 @@ the whole corpus shuffles, and it aggregates before it does.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,23 +15,32 @@ from codecorpus.functions import dependencies as rules
 from codecorpus.operators.common import FILE, language_column, masked
 
 
-def _imports(files: DataFrame) -> tuple[DataFrame, Column]:
-    return masked(files), rules.imports(F.col("content"), F.col("_hidden"), F.col("language"))
+@cache
+def _imports() -> Column:
+    return rules.imports(F.col("content"), F.col("_hidden"), F.col("language"))
+
+
+@cache
+def _calls(exclude_keywords: bool) -> Column:
+    return rules.calls(F.col("content"), F.col("_hidden"), F.col("language"), exclude_keywords)
+
+
+@cache
+def _uses() -> Column:
+    return rules.python_uses(F.col("_hidden"))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """One row per import: kind, text, module and position."""
-    rows, found = _imports(files)
-    return rows.select(*FILE, F.explode(found).alias("import")).select(
+    return masked(files).select(*FILE, F.explode(_imports()).alias("import")).select(
         *FILE, "import.kind", "import.text", "import.module", "import.start_char"
     )
 
 
 def extract_modules(files: DataFrame) -> DataFrame:
     """The different modules each file imports."""
-    rows, found = _imports(files)
-    modules = F.array_distinct(F.filter(F.transform(found, lambda i: i["module"]), lambda m: m.isNotNull()))
-    return rows.select(*FILE, F.explode(modules).alias("module"))
+    modules = F.filter(F.transform(_imports(), lambda i: i["module"]), lambda m: m.isNotNull())
+    return masked(files).select(*FILE, F.explode(F.array_distinct(modules)).alias("module"))
 
 
 def modules_of_imports(imports: DataFrame) -> DataFrame:
@@ -39,15 +50,14 @@ def modules_of_imports(imports: DataFrame) -> DataFrame:
 
 def extract_calls(files: DataFrame, exclude_keywords: bool = True) -> DataFrame:
     """One row per call: name and matched text."""
-    found = rules.calls(F.col("content"), F.col("_hidden"), F.col("language"), exclude_keywords)
-    return masked(files).select(*FILE, F.explode(found).alias("call")).select(*FILE, "call.name", "call.text")
+    found = F.explode(_calls(exclude_keywords)).alias("call")
+    return masked(files).select(*FILE, found).select(*FILE, "call.name", "call.text")
 
 
 def extract_variables(files: DataFrame) -> DataFrame:
     """One row per use of an identifier in a Python file, with its line counted from 1."""
     python = masked(files.filter(F.lower(language_column(files)) == "python"))
-    found = rules.python_uses(F.col("_hidden"))
-    return python.select(*FILE, F.explode(found).alias("use")).select(*FILE, "use.name", "use.line_no")
+    return python.select(*FILE, F.explode(_uses()).alias("use")).select(*FILE, "use.name", "use.line_no")
 
 
 def _nodes(modules: DataFrame, calls: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import segments as rules
 from codecorpus.functions.language import base_name
 from codecorpus.functions.text import split_lines
-from codecorpus.operators.common import FILE, language_column, masked, segmented
+from codecorpus.operators.common import FILE, definitions_column, language_column, segmented, tokenised
 
 POSITIONS = ("start_char", "end_char", "start_line", "end_line")
 
@@ -49,21 +49,18 @@ def with_segments(files: DataFrame) -> DataFrame:
     return segmented(files).drop("_hidden")
 
 
+def _by_rule(files: DataFrame, *languages: str) -> DataFrame:
+    return _rows(tokenised(_of_language(files, *languages)), definitions_column())
+
+
 def segment_python(files: DataFrame) -> DataFrame:
     """Functions and classes of Python files by indentation, nested ones included."""
-    return _rows(masked(_of_language(files, "python")), rules.python_definitions(F.col("_hidden")))
+    return _by_rule(files, "python")
 
 
 def segment_braced(files: DataFrame) -> DataFrame:
     """Functions, methods and classes of JavaScript, Java and C++ files by braces."""
-    chosen = masked(_of_language(files, "javascript", "java", "c++", "cpp"))
-    key, hidden = F.lower("language"), F.col("_hidden")
-    found = (
-        F.when(key == "javascript", rules.braced_definitions(hidden, "javascript"))
-        .when(key == "java", rules.braced_definitions(hidden, "java"))
-        .otherwise(rules.braced_definitions(hidden, "c++"))
-    )
-    return _rows(chosen, found)
+    return _by_rule(files, "javascript", "java", "c++", "cpp")
 
 
 def segment_javascript_regex(files: DataFrame) -> DataFrame:

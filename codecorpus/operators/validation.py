@@ -8,6 +8,7 @@ the measured run times and the review answers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ def _texts() -> tuple[Column, Column, Column, Column]:
     )
 
 
+@cache
 def _complexity() -> Column:
     original, converted, source, target = _texts()
     both = F.struct(
@@ -48,6 +50,7 @@ def _complexity() -> Column:
     return let(both, lambda b: rules.complexity_result(b["original"], b["converted"], b["source"], b["target"]))
 
 
+@cache
 def _structure() -> Column:
     original, converted, source, target = _texts()
     both = F.struct(
@@ -59,6 +62,12 @@ def _structure() -> Column:
     return let(both, lambda b: rules.structure_result(b["original"], b["converted"], b["source"], b["target"]))
 
 
+@cache
+def _normalised_source() -> Column:
+    return rules.normalised_source_result(F.col("original_code"), F.col("converted_code"))
+
+
+@cache
 def _runtime() -> Column:
     return rules.runtime_result(*[F.col(c) for c in ("original_s", "converted_s", "original_rc", "converted_rc")])
 
@@ -93,8 +102,7 @@ def normalised_source_check(pairs: DataFrame) -> DataFrame:
     """Python pairs only: whether the two texts are the same but for comments and spacing."""
     _, _, source, target = _texts()
     python = pairs.filter((source == "py") & (target == "py"))
-    outcome = rules.normalised_source_result(F.col("original_code"), F.col("converted_code"))
-    return _results(python, ["pair_id"], SEMANTIC, outcome)
+    return _results(python, ["pair_id"], SEMANTIC, _normalised_source())
 
 
 def runtime_check(timings: DataFrame, keys: Iterable[str] = ("pair_id",)) -> DataFrame:
@@ -164,9 +172,7 @@ def run_validators(
     python = (source == "py") & (target == "py")
     outcomes = {}
     if SEMANTIC not in skipped:
-        outcomes["_semantic"] = F.when(
-            python, rules.normalised_source_result(F.col("original_code"), F.col("converted_code"))
-        ).otherwise(_structure())
+        outcomes["_semantic"] = F.when(python, _normalised_source()).otherwise(_structure())
     if PERFORMANCE not in skipped:
         outcomes["_complexity"] = F.when(~python, _complexity())
     outcomes |= {f"_text_{name}": rule() for name, rule in text_rules.items()}
