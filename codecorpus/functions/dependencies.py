@@ -117,16 +117,20 @@ PYTHON_WORDS = (
     "|if|import|in|is|lambda|nonlocal|not|or|pass|raise|return|try|while|with|yield"
 )
 CALL_ANYWHERE = r"([\w.]+)\s*\("
+# A dotted name is taken whole; after another expression (``f(x).g(y)``) it begins behind the dot.
 PYTHON_CALL = code_pattern(
-    rf"(?={WORD})(?<!{DOTTED})(?={DOTTED}++\s*+\()(?!(?:{PYTHON_WORDS})\b)(?<!\b(?:def|class)\s{{1,8}})"
+    rf"(?={WORD})(?<!{WORD})(?<!{WORD}\.)(?={DOTTED}++\s*+\()(?!(?:{PYTHON_WORDS})\b)(?<!\b(?:def|class)\s{{1,8}})"
     rf"({DOTTED}++)\s*+\("
 )
 # Not calls: a name whose parameters are followed by a body, and a name right after a type.
 WORDS_BEFORE_CALL = "return|throw|else|case|await|yield|typeof|void|delete|in|of|do|co_return|co_await|instanceof"
+BODY_FOLLOWS = (
+    rf"{PARAMETERS}\s*+(?:const|override|noexcept|throws\s++[\w.,\s]++)?\s*+(?::(?!:)[^{{}};]*+)?\{{"
+)
 BRACED_CALL = code_pattern(
-    rf"(?={WITH_DOLLAR})(?<!{MEMBER})(?={MEMBER}++\s*+\()(?!(?:{CONTROL_WORDS})\b)"
+    rf"(?={WITH_DOLLAR})(?<!{WITH_DOLLAR})(?<!{WITH_DOLLAR}\.)(?={MEMBER}++\s*+\()(?!(?:{CONTROL_WORDS})\b)"
     rf"(?:(?<![\w\]][ \t]{{1,4}})|(?<=\b(?:{WORDS_BEFORE_CALL})[ \t]{{1,4}}))(?<!\b(?:new|function)\s{{1,8}})"
-    rf"({MEMBER}++)\s*+(?!{PARAMETERS}\s*+(?:const|override|noexcept|throws\s++[\w.,\s]++)?\s*+\{{)\("
+    rf"({MEMBER}++)\s*+(?!{BODY_FOLLOWS})\("
 )
 
 
@@ -157,11 +161,12 @@ def calls(content: Column, hidden: Column, language: Column, exclude_keywords: b
 
 # --- identifier uses --------------------------------------------------------
 
-# Not counted: attributes, keywords, names of keyword arguments.
+# Not counted: attributes and keywords.
 PYTHON_NAME = code_pattern(
-    rf"(?={WORD}(?<!\d))(?<!{DOTTED_OR_QUOTE})(?!(?:{PYTHON_WORDS})\b)"
-    rf"(?!(?<=[(,]\s{{0,8}}){WORD}++\s*+=(?!=))({WORD}++)(?!\")"
+    rf"(?={WORD}(?<!\d))(?<!{DOTTED_OR_QUOTE})(?!(?:{PYTHON_WORDS})\b)({WORD}++)(?!\")"
 )
+# Not counted either: names of keyword arguments.
+KEYWORD_ARGUMENT = code_pattern(rf"(?<=[(,][^\S\n]{{0,100}}){WORD}++(?=[^\S\n]*+=(?!=))")
 ANY_IMPORT = code_pattern(rf"(?=[fi])(?<!{DOTTED})(?:from[^\S\n]++\.*+{DOTTED}*+[^\S\n]++)?import\b[^\n;]*+")
 CLASS_NAME = code_pattern(rf"^([ \t]*+class[ \t]++){WORD}++", multiline=True)
 FUNCTION_HEAD = code_pattern(
@@ -179,7 +184,8 @@ def python_uses(hidden: Column) -> Column:
     uses_only = replace_matches(
         imports_gone, FUNCTION_HEAD, lambda m: F.regexp_replace(m, NAME_BEING_DEFINED, "")
     )
-    lines = F.split(F.regexp_replace(uses_only, CLASS_NAME, "$1"), f"[\n{lexical.JOINED}]", -1)
+    values_only = F.regexp_replace(uses_only, KEYWORD_ARGUMENT, "")
+    lines = F.split(F.regexp_replace(values_only, CLASS_NAME, "$1"), f"[\n{lexical.JOINED}]", -1)
     return F.flatten(
         F.transform(
             lines,
