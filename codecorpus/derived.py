@@ -7,6 +7,7 @@ line items without reading the text.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,61 +35,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _block(suffix: str) -> Column:
-    import re
-
-    values = {
-        "p": F.col("l_partkey"),
-        "s": F.col("l_suppkey"),
-        "n": F.col("l_linenumber"),
-        "m": F.col("l_partkey") % 50,
-    }
+def _text(suffix: str) -> Column:
+    """The blocks of an order's ``items`` one after the other, in one language."""
     parts = re.split(r"\{([psnm])\}", BLOCKS[suffix])
-    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
 
+    def block(item: Column) -> Column:
+        values = {
+            "p": item["l_partkey"],
+            "s": item["l_suppkey"],
+            "n": item["l_linenumber"],
+            "m": item["l_partkey"] % 50,
+        }
+        return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
 
-@cache
-def _rendering() -> Column:
-    """The block of a line item in the language of its order."""
-    suffix = _suffix_of_order()
-    chain = None
-    for s in SUFFIXES:
-        chain = F.when(suffix == s, _block(s)) if chain is None else chain.when(suffix == s, _block(s))
-    return chain
+    return F.array_join(F.transform("items", block), "")
 
 
 def _suffix_of_order() -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER)
-    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+@cache
+def _text_of_order() -> Column:
+    """The text in the language of the order."""
+    chain = F.when(F.col("o_orderkey") % 8 == 0, _text(SUFFIXES[0]))
+    for i, s in enumerate(SUFFIXES[1:], 1):
+        chain = chain.when(F.col("o_orderkey") % 8 == i, _text(s))
+    return chain
 
 
-def _text(block: Column) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(*ORDER, block.alias("block"))))
-    return F.array_join(F.transform(rows, lambda r: r["block"]), "")
+@cache
+def _text_in(suffix: str) -> Column:
+    return _text(suffix)
+
+
+def _orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their sorted line items.  Only keys are shuffled; text is rendered afterwards."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.array_sort(F.collect_list(F.struct(*ORDER))).alias("items"))
+    )
+    return orders.join(items, "o_orderkey")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, path, size, content of the rendered files."""
     key = F.col("o_orderkey")
-    suffix = _suffix_of_order()
     folder = (
         F.when(key % 13 == 0, F.lit("node_modules"))
         .when(key % 13 == 1, F.lit(".git"))
         .otherwise(F.concat(F.lit("pkg"), (key % 5).cast("string")))
     )
     repo = F.concat(F.lit("repo"), (F.col("o_custkey") % 20).cast("string"))
-    rendered = _items(spark, sf_dir).groupBy("o_orderkey", "o_custkey").agg(
-        _text(_rendering()).alias("content")
-    )
+    rendered = _orders_with_items(spark, sf_dir).withColumn("content", _text_of_order())
     return rendered.select(
         repo.alias("repo"),
-        F.concat(repo, F.lit("/"), folder, F.lit("/m"), key.cast("string"), suffix).alias("path"),
+        F.concat(repo, F.lit("/"), folder, F.lit("/m"), key.cast("string"), _suffix_of_order()).alias("path"),
         F.octet_length("content").cast("long").alias("size"),
         "content",
     )
@@ -113,19 +117,11 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = _suffix_of_order()
     kind = F.floor(key / 8).cast("long") % 4
     comment = F.when(key % 8 == 0, F.lit("# note\n")).otherwise(F.lit("// note\n"))
-    rendered = (
-        _items(spark, sf_dir)
-        .groupBy("o_orderkey")
-        .agg(
-            _text(_rendering()).alias("original_code"),
-            _text(_block(".java")).alias("java"),
-            _text(_block(".js")).alias("js"),
-        )
-    )
+    rendered = _orders_with_items(spark, sf_dir).withColumn("original_code", _text_of_order())
     converted = (
-        F.when(kind == 0, F.col("java"))
+        F.when(kind == 0, _text_in(".java"))
         .when(kind == 1, F.lit("// nothing"))
-        .when(kind == 2, F.col("js"))
+        .when(kind == 2, _text_in(".js"))
         .otherwise(F.concat(comment, F.col("original_code")))
     )
     converted_suffix = F.when(kind < 2, F.lit(".java")).when(kind == 2, F.lit(".js")).otherwise(suffix)
