@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus.operators.limits import ranked
+
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
 
 # One block per language; {p} part, {s} supplier, {n} line number, {m} module number.
@@ -137,10 +139,10 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as numbered attempts at one request."""
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    return ranked(events, "user_id", ["event_id"], "attempt_no", ("event_type", "props")).select(
         F.col("user_id").cast("long").alias("request_id"),
-        number.alias("attempt_no"),
+        "attempt_no",
         (F.col("event_type") != "error").alias("ok"),
         F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")).alias("text"),
     )

@@ -120,14 +120,14 @@ def admit_within_budget(
     return files.join(admitted, FILE, "left_semi")
 
 
-def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+def ranked(rows: DataFrame, group: str, order: list[str], name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Position 1..n of each row within its group, also for groups that exceed one task.
 
     Rows are sorted over all tasks by (group, order).  Within a task, positions
     follow from the running id; the rows a group has in earlier tasks are added
-    from a table with one row per task and group.
+    from a table with one row per task and group.  ``keep`` names columns to carry along.
     """
-    slim = cut(rows.select(group, *order))
+    slim = cut(rows.select(group, *order, *keep))
     placed = cut(
         slim.orderBy(group, *order)
         .withColumn("_id", F.monotonically_increasing_id())
@@ -139,7 +139,7 @@ def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFram
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
     return placed.join(runs, [group, "_part"]).select(
-        group, *order, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(name)
+        group, *order, *keep, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(name)
     )
 
 
