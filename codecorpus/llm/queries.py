@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import table
+from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 
 
@@ -14,6 +15,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links", F.col("size").alias("n_shingles"))
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = without_duplicate_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.length("text").alias("n_chars_left"), F.crc32("text").alias("text_crc32"), "n_kept", "n_dropped")
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
 }
