@@ -1,3 +1,34 @@
 """Answers in SQL for the operators' queries, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+OP5 = r"""
+with d as (
+    select row_number() over () as r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), i as (
+    select cast(item_id as varchar) as item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark where item_id is not null
+), windows as (
+    select distinct item, least(len(w), 13) as n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') as words
+    from i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as t(s) where len(w) > 0
+), sizes as (select distinct n from windows
+), places as (
+    select r, s, n, array_to_string(w[s:s + n - 1], ' ') as words
+    from d, sizes, unnest(range(1, len(w) - n + 2)) as t(s)
+), hits as (select r, s, n, item from places join windows using (n, words)
+), hit_words as (select r, count(distinct p) as n_hit from hits, unnest(range(s, s + n)) as t(p) group by r
+), hit_items as (
+    select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit_words using (r) left join hit_items using (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5,
+}

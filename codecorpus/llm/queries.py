@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import table
+from codecorpus.llm.decontaminate import contamination
 from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 
@@ -20,7 +21,16 @@ def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.length("text").alias("n_chars_left"), F.crc32("text").alias("text_crc32"), "n_kept", "n_dropped")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
