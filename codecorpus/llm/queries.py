@@ -9,6 +9,17 @@ from codecorpus.llm.common import table
 from codecorpus.llm.decontaminate import contamination
 from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
+from codecorpus.llm.packing import packed
+from codecorpus.llm.shards import sharded
+
+try:
+    from public_tokenizers import path as vocabulary
+except ModuleNotFoundError:
+
+    def vocabulary(name: str) -> str:
+        """Where vocabulary files lie, if they are not installed as a module."""
+        return f"/opt/tokenizers/{name}"
+
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +40,23 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    placed = sharded(docs, 40, keep_text=False)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_byte_balanced_shards": op6_byte_balanced_shards,
+    "op8_first_fit_packing": op8_first_fit_packing,
 }
