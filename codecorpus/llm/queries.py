@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm.common import table
 from codecorpus.llm.decontaminate import contamination
+from codecorpus.llm.fertility import judged
 from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 from codecorpus.llm.packing import packed
@@ -53,10 +54,18 @@ def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "doc_id")
 
 
+def op9_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measures = ["n_tokens", "n_byte_tokens", "chars_per_token", "fertility", "entropy", "script", "reason"]
+    return rows.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", *measures)
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_balanced_shards": op6_byte_balanced_shards,
     "op8_first_fit_packing": op8_first_fit_packing,
+    "op9_tokeniser_fertility_rules": op9_tokeniser_fertility_rules,
 }
