@@ -12,6 +12,7 @@ from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 from codecorpus.llm.packing import packed
 from codecorpus.llm.shards import sharded
+from codecorpus.llm.style_tree import main_text
 
 try:
     from public_tokenizers import path as vocabulary
@@ -49,6 +50,11 @@ def op6_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
     return pieces.withColumnRenamed("id", "doc_id")
@@ -66,6 +72,7 @@ QUERIES = {
     "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_byte_balanced_shards": op6_byte_balanced_shards,
+    "op7_site_style_tree": op7_site_style_tree,
     "op8_first_fit_packing": op8_first_fit_packing,
     "op9_tokeniser_fertility_rules": op9_tokeniser_fertility_rules,
 }
