@@ -39,15 +39,15 @@ class ByteEncoder:
         return np.asarray(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text or _SPACES.search(text) or text[0] == " ":
-            return self.whole(text) if text else b""
+        if _SPACES.search(text):
+            return self.whole(text)
         first, *rest = text.split(" ")
         known = self.known
         if len(known) > self.remembered:
             known.clear()
         for word in set(rest).difference(known):
             known[word] = self.whole(" " + word)
-        return self.whole(first) + b"".join(map(known.__getitem__, rest))
+        return (self.whole(first) if first else b"") + b"".join(map(known.__getitem__, rest))
 
 
 class Tournament:

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from codecorpus.llm.common import table
 from codecorpus.llm.decontaminate import contamination
 from codecorpus.llm.fertility import judged
+from codecorpus.llm.language_id import fit, identify
 from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 from codecorpus.llm.packing import packed
 from codecorpus.llm.shards import sharded
 from codecorpus.llm.style_tree import main_text
+from codecorpus.llm.token_counts import edited_counts, token_tree
+from codecorpus.llm.warc import derivatives, responses
 
 try:
     from public_tokenizers import path as vocabulary
@@ -24,6 +27,25 @@ except ModuleNotFoundError:
 
 
 
+def op1_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by text, html tag, suffix and host; documents by text and source, which stands for their host."""
+    documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit(documents)
+    of_pages = identify(pages, model)
+    sourced = documents.withColumn("url", F.concat(F.lit("//"), F.col("source")))
+    of_documents = identify(sourced, model, "doc_id", "url", "text", declared=F.lit(""), markup=False)
+    columns = ["host", "declared", "suffix", "language", F.round("probability", 6).alias("probability"), "text_language"]
+    none = F.lit(None).cast("long")
+    return of_documents.select(F.col("id").alias("doc_id"), none.alias("page_id"), *columns).unionAll(
+        of_pages.select(none.alias("doc_id"), F.col("id").alias("page_id"), *columns)
+    )
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derivatives(responses(table(spark, sf_dir, "pages")), "page_id")
+    return made.withColumn("block_bytes", F.octet_length("block").cast("long")).withColumn("block_md5", F.md5("block")).drop("block")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join(table(spark, sf_dir, "documents"))
     return joined.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links", F.col("size").alias("n_shingles"))
@@ -67,7 +89,33 @@ def op9_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", *measures)
 
 
+def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits per document, derived from it: one in each half, one at the end."""
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    text = F.coalesce("text", F.lit(""))
+    n, half = F.length(text), F.floor(F.length(text) / 2).cast("int")
+
+    def place(salt: int, size) :
+        return F.pmod(F.xxhash64(F.lit(salt), "doc_id", text), F.greatest(size, F.lit(1))).cast("int")
+
+    def edit(at, removed, inserted):
+        return F.struct(at.cast("int").alias("at"), removed.cast("int").alias("removed"), inserted.alias("inserted"))
+
+    one, two = place(1, half), half + place(2, n - half)
+    edits = F.array(
+        edit(one, F.least(place(3, F.lit(40)), half - one), F.concat_ws(" ", F.lit(""), "source", "lang")),
+        edit(two, F.least(place(4, F.lit(40)), n - two), F.lit("")),
+        edit(n, F.lit(0), F.concat(F.lit(".\nEnd of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("text")))),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), edits.alias("edits"))
+    with_tree = docs.withColumn("tree", token_tree(F.col("text"), path))
+    counted = with_tree.select("doc_id", edited_counts(F.col("text"), F.col("tree"), F.col("edits"), path).alias("c"))
+    return counted.select("doc_id", "c.tokens_before", "c.tokens_after", "c.leaves", "c.leaves_read", "c.chars_read")
+
+
 QUERIES = {
+    "op1_bayesian_language_id": op1_bayesian_language_id,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -75,4 +123,5 @@ QUERIES = {
     "op7_site_style_tree": op7_site_style_tree,
     "op8_first_fit_packing": op8_first_fit_packing,
     "op9_tokeniser_fertility_rules": op9_tokeniser_fertility_rules,
+    "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
 }
