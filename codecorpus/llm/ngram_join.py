@@ -161,12 +161,10 @@ def ngram_join(
     members = written(
         blocks.select(F.col("node").alias("id"), F.col("root").alias("block")).join(classes.drop("bands"), "id"), "blocks"
     )
-    wanted = members.select("first.kid", "first.kh")
+    wanted = members.select("first.kid", "first.kh").hint("merge")
     sets = keyed.join(wanted, ["kid", "kh"], "left_semi").select("text").mapInPandas(_sets(n), "id long, hashes binary")
     found = written(
-        compare_tiles(
-            members.select("block", "id", "size", "copies").join(sets, "id"), _compare(threshold), "a long, b long, links long", threshold
-        ),
+        compare_tiles(members.select("block", "id", "size", "copies"), sets, _compare(threshold), "a long, b long, links long", threshold),
         "links",
     )
     groups = components(found.where("b is not null").select("a", "b"))
@@ -197,4 +195,4 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     kid, kh = fresh(docs, "kid", "kh")
     one, two = row_key(F.col(id_column), F.col(text_column))
     keep = ngram_join(docs, id_column, text_column, **options).where("keeps").select(F.col("kid").alias(kid), F.col("kh").alias(kh))
-    return docs.withColumns({kid: one, kh: two}).join(keep.distinct(), [kid, kh], "left_semi").dropDuplicates([kid, kh]).drop(kid, kh)
+    return docs.withColumns({kid: one, kh: two}).join(keep.distinct().hint("merge"), [kid, kh], "left_semi").dropDuplicates([kid, kh]).drop(kid, kh)

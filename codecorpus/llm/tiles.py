@@ -16,6 +16,7 @@ KEYS = ["block", "g1", "t1", "g2", "t2"]
 
 def compare_tiles(
     members: DataFrame,
+    payload: DataFrame,
     work: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame | None],
     schema: str,
     ratio: float,
@@ -24,7 +25,8 @@ def compare_tiles(
 ) -> DataFrame:
     """Compare all members of a block whose sizes differ by no more than ``ratio``.
 
-    ``members``: block long, id long, size long (1 or more) and what ``work`` needs.
+    ``members``: block long, id long, size long (1 or more) and what else ``work`` needs;
+    ``payload``: id and the large columns it needs, joined when the tiles are known.
     Sizes fall into classes of that ratio, so only a class and the next can match. A class
     of a block is dealt by id into tiles of about ``rows`` members and ``weight`` of size;
     each pair of tiles is one task's group. A block that fits one tile stays whole.
@@ -60,7 +62,9 @@ def compare_tiles(
     above = F.transform(upto(F.col("after")), lambda j: key(g, t, g + 1, j, 0))
     below = F.transform(upto(F.col("before")), lambda j: key(g - 1, j, g, t, 1))
     tiles = F.when(F.col("whole"), F.array(key(zero, zero, zero, zero, 0))).otherwise(F.concat(own, above, below))
-    placed = dealt.select(*members.columns, F.explode(tiles).alias("tile")).select(*members.columns, "tile.*")
+    columns = [*members.columns, *[c for c in payload.columns if c != "id"]]
+    tiled = dealt.select(*members.columns, tiles.alias("tiles")).hint("merge").join(payload, "id")
+    placed = tiled.select(*columns, F.explode("tiles").alias("tile")).select(*columns, "tile.*")
 
     def run(group: pd.DataFrame) -> pd.DataFrame | None:
         first = group.iloc[0]
