@@ -106,7 +106,7 @@ def contamination(
     of_rows = written(
         candidates.groupBy("kid", "kh").agg(F.collect_list(F.struct("start", "window", "owners")).alias("places")), "candidates"
     )
-    joined = source.join(of_rows, ["kid", "kh"], "left").withColumn("w", words(F.col("text")))
+    joined = source.join(of_rows.hint("merge"), ["kid", "kh"], "left").withColumn("w", words(F.col("text")))
     true_places = F.filter("places", lambda p: lowered(F.slice("w", p.start + 1, F.size(p.window))) == p.window)
     verified = joined.select(
         "id", "kid", "kh", F.size("w").cast("long").alias("n_words"),
@@ -140,4 +140,4 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "do
     one, two = row_key(F.col(id_column), F.col(text_column))
     judged = contamination(docs, items, id_column, text_column, **options)
     bad = judged.where("contaminated").select(F.col("kid").alias(kid), F.col("kh").alias(kh)).distinct()
-    return docs.withColumns({kid: one, kh: two}).join(bad, [kid, kh], "left_anti").drop(kid, kh)
+    return docs.withColumns({kid: one, kh: two}).join(bad.hint("merge"), [kid, kh], "left_anti").drop(kid, kh)

@@ -235,4 +235,4 @@ def without_rejected(docs: DataFrame, model: str, id_column: str = "doc_id", tex
     kid, kh = fresh(docs, "kid", "kh")
     one, two = row_key(F.col(id_column), F.col(text_column))
     kept = judged(docs, model, id_column, text_column, **options).where("kept").select(F.col("kid").alias(kid), F.col("kh").alias(kh))
-    return docs.withColumns({kid: one, kh: two}).join(kept.distinct(), [kid, kh], "left_semi").drop(kid, kh)
+    return docs.withColumns({kid: one, kh: two}).join(kept.distinct().hint("merge"), [kid, kh], "left_semi").drop(kid, kh)
