@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
 from codecorpus.functions.arrays import empty_array
-from codecorpus.functions.lexical import matches, replace_matches
+from codecorpus.functions.lexical import AFTER, AFTER_BREAK, AFTER_JOINED, matches, replace_matches
 from codecorpus.functions.segments import CONTROL_WORDS, PARAMETERS
 from codecorpus.functions.text import WORD, code_pattern, dialect, word_class
 
@@ -119,7 +119,7 @@ PYTHON_WORDS = (
 CALL_ANYWHERE = r"([\w.]+)\s*\("
 # A dotted name is taken whole; after another expression (``f(x).g(y)``) it begins behind the dot.
 PYTHON_CALL = code_pattern(
-    rf"(?={WORD})(?<!{WORD})(?<!{WORD}\.)(?={DOTTED}++\s*+\()(?!(?:{PYTHON_WORDS})\b)(?<!\b(?:def|class)\s{{1,8}})"
+    rf"(?={WORD})(?<!{WORD})(?<!{WORD}\.)(?={DOTTED}++\s*+\()(?!(?:{PYTHON_WORDS})\b)(?<![{AFTER}{AFTER_BREAK}{AFTER_JOINED}])"
     rf"({DOTTED}++)\s*+\("
 )
 # Not calls: a name whose parameters are followed by a body, and a name right after a type.
@@ -127,11 +127,15 @@ WORDS_BEFORE_CALL = "return|throw|else|case|await|yield|typeof|void|delete|in|of
 BODY_FOLLOWS = (
     rf"{PARAMETERS}\s*+(?:const|override|noexcept|throws\s++[\w.,\s]++)?\s*+(?::(?!:)[^{{}};]*+)?\{{"
 )
+# Blanks after ``new`` and the like, or after a type, are set off, so the character before a name tells.
 BRACED_CALL = code_pattern(
-    rf"(?={WITH_DOLLAR})(?<!{WITH_DOLLAR})(?<!{WITH_DOLLAR}\.)(?={MEMBER}++\s*+\()(?!(?:{CONTROL_WORDS})\b)"
-    rf"(?:(?<![\w\]][ \t]{{1,4}})|(?<=\b(?:{WORDS_BEFORE_CALL})[ \t]{{1,4}}))(?<!\b(?:new|function)\s{{1,8}})"
-    rf"({MEMBER}++)\s*+(?!{BODY_FOLLOWS})\("
+    rf"(?={WITH_DOLLAR})(?<!{WITH_DOLLAR})(?<!{WITH_DOLLAR}\.)(?={MEMBER}++\s*+\()(?!(?:{CONTROL_WORDS})\b(?!\.))"
+    rf"(?<![{AFTER}{AFTER_BREAK}{AFTER_JOINED}])({MEMBER}++)\s*+(?!{BODY_FOLLOWS})\("
 )
+DEFINING_BLANK = r"\b(?:new|function)"
+TYPE_BLANK = rf"[\w\]](?<!\b(?:{WORDS_BEFORE_CALL}))"
+# The same without blanks before a parenthesis, which belong to the call itself.
+BLANKS_BEFORE_NAME, BLANKS_IN_LINE = r"\s(?!\s*+\()", r"[ \t](?![ \t]*+\()"
 
 
 def calls(content: Column, hidden: Column, language: Column, exclude_keywords: bool = True) -> Column:
@@ -149,8 +153,10 @@ def calls(content: Column, hidden: Column, language: Column, exclude_keywords: b
         return F.zip_with(names, texts, lambda n, t: F.struct(n.alias("name"), t.alias("text")))
 
     if exclude_keywords:
-        chain = F.when(key == "python", found(hidden, PYTHON_CALL)).when(
-            key.isin("javascript", "java", "c++", "cpp"), found(hidden, BRACED_CALL)
+        python = lexical.mark_blanks(hidden, r"\b(?:def|class)")
+        braced = lexical.mark_blanks(lexical.mark_blanks(hidden, DEFINING_BLANK, BLANKS_BEFORE_NAME), TYPE_BLANK, BLANKS_IN_LINE)
+        chain = F.when(key == "python", found(python, PYTHON_CALL)).when(
+            key.isin("javascript", "java", "c++", "cpp"), found(braced, BRACED_CALL)
         )
     else:
         chain = F.when(key == "javascript", found(content, dialect(fixed.SCRIPT_CALL))).when(
@@ -166,14 +172,14 @@ PYTHON_NAME = code_pattern(
     rf"(?={WORD}(?<!\d))(?<!{DOTTED_OR_QUOTE})(?!(?:{PYTHON_WORDS})\b)({WORD}++)(?!\")"
 )
 # Not counted either: names of keyword arguments.
-KEYWORD_ARGUMENT = code_pattern(rf"(?<=[(,][^\S\n]{{0,100}}){WORD}++(?=[^\S\n]*+=(?!=))")
+KEYWORD_ARGUMENT = code_pattern(rf"(?<=[(,{AFTER}{AFTER_JOINED}]){WORD}++(?=[^\S\n]*+=(?!=))")
 ANY_IMPORT = code_pattern(rf"(?=[fi])(?<!{DOTTED})(?:from[^\S\n]++\.*+{DOTTED}*+[^\S\n]++)?import\b[^\n;]*+")
 CLASS_NAME = code_pattern(rf"^([ \t]*+class[ \t]++){WORD}++", multiline=True)
 FUNCTION_HEAD = code_pattern(
     rf"^[ \t]*+(?:async[ \t]++)?def[ \t]++{WORD}++\s*+" + PARAMETERS, multiline=True
 )
 # In the head of a function only defaults and annotations are uses.
-NAME_BEING_DEFINED = code_pattern(rf"(?<!{DOTTED})(?<![=:>]\s{{0,3}})(?!\d){WORD}++")
+NAME_BEING_DEFINED = code_pattern(rf"(?<!{DOTTED})(?<![=:>{AFTER}{AFTER_BREAK}{AFTER_JOINED}])(?!\d){WORD}++")
 
 
 def python_uses(hidden: Column) -> Column:
@@ -181,10 +187,12 @@ def python_uses(hidden: Column) -> Column:
     imports_gone = replace_matches(
         hidden, ANY_IMPORT, lambda m: F.regexp_replace(m, f"[^{lexical.JOINED}]", "")
     )
-    uses_only = replace_matches(
-        imports_gone, FUNCTION_HEAD, lambda m: F.regexp_replace(m, NAME_BEING_DEFINED, "")
-    )
-    values_only = F.regexp_replace(uses_only, KEYWORD_ARGUMENT, "")
+    def head(m: Column) -> Column:
+        return lexical.unmark_blanks(F.regexp_replace(lexical.mark_blanks(m, "[=:>]"), NAME_BEING_DEFINED, ""))
+
+    uses_only = replace_matches(imports_gone, FUNCTION_HEAD, head)
+    arguments = F.regexp_replace(lexical.mark_blanks(uses_only, "[(,]", r"[^\S\n]"), KEYWORD_ARGUMENT, "")
+    values_only = lexical.unmark_blanks(arguments)
     lines = F.split(F.regexp_replace(values_only, CLASS_NAME, "$1"), f"[\n{lexical.JOINED}]", -1)
     return F.flatten(
         F.transform(

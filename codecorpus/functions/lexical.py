@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codecorpus.functions.arrays import empty_array, let, running_sum
+from codecorpus.functions.arrays import empty_array, later_minimum, let, running_sum
 
 # Takes the place of a line break that does not end a logical line, so that
 # lines can still be counted; any other vertical tab is blanked beforehand.
@@ -46,19 +46,9 @@ TOKENS = {
     "c++": _tokens("\"'/R#", _SLASH_COMMENT, _RAW_CPP, _DOUBLE, _SINGLE, _DIRECTIVE),
 }
 
-BRACKET_DEPTH = 8
-
-
-def _brackets(depth: int) -> str:
-    inner = r"[^()\[\]{}]++"
-    if depth > 1:
-        inner = f"(?:{inner}|{_brackets(depth - 1)})*+"
-    else:
-        inner = f"(?:{inner})?+"
-    return rf"[(\[{{]{inner}[)\]}}]"
-
-
-BRACKETS = _brackets(BRACKET_DEPTH)
+BRACKET = r"[()\[\]{}]"
+# Blanks that follow something of interest become these, line ends among them the last two.
+AFTER, AFTER_BREAK, AFTER_JOINED = "\2", "\5", "\6"
 
 
 def replace_matches(text: Column, pattern: str, change) -> Column:
@@ -92,9 +82,45 @@ def mask(text: Column, language: str) -> Column:
 
 
 def logical_lines(text: Column) -> Column:
-    """Masked Python text in which line breaks inside brackets or after a backslash are ``JOINED``."""
-    joined = replace_matches(text, BRACKETS, lambda m: F.translate(m, "\n", JOINED))
-    return F.regexp_replace(joined, r"\\\n", " " + JOINED)
+    """Masked Python text in which line breaks inside brackets or after a backslash are ``JOINED``.
+
+    Brackets may nest to any depth. What follows a bracket lies inside one that closes if some
+    later depth is smaller, so a bracket that is never closed joins nothing.
+    """
+
+    def rebuild(parts: Column, depths: Column, later: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            before = F.floor(i / 2).cast("int") - 1
+            inside = F.get(depths, before) > F.get(later, before)
+            return F.when((i % 2 == 0) & F.coalesce(inside, F.lit(False)), F.translate(x, "\n", JOINED)).otherwise(x)
+
+        return F.array_join(F.transform(parts, part), "")
+
+    def change(x: Column) -> Column:
+        return F.when(x.isin("(", "[", "{"), F.lit(1)).otherwise(F.lit(-1))
+
+    def of(parts: Column) -> Column:
+        brackets = F.filter(parts, lambda x, i: i % 2 == 1)
+        return let(
+            running_sum(F.transform(brackets, change), least=0),
+            lambda depths: let(later_minimum(depths), lambda later: rebuild(parts, depths, later)),
+        )
+
+    return F.regexp_replace(let(marked(text, BRACKET, 0), of), r"\\\n", " " + JOINED)
+
+
+def mark_blanks(text: Column, before: str, blanks: str = r"\s") -> Column:
+    """Set off the blanks, any number of them, that stand right behind a match of ``before``.
+
+    A look-behind for one of ``AFTER``, ``AFTER_BREAK`` and ``AFTER_JOINED`` then tells what an
+    unbounded look-behind would. Offsets stay; ``unmark_blanks`` gives the blanks back.
+    """
+    plain, marks = " \t\r\f\n" + JOINED, AFTER * 4 + AFTER_BREAK + AFTER_JOINED
+    return replace_matches(text, f"(?<={before})(?:{blanks})++", lambda m: F.translate(m, plain, marks))
+
+
+def unmark_blanks(text: Column) -> Column:
+    return F.translate(text, AFTER + AFTER_BREAK + AFTER_JOINED, " \n" + JOINED)
 
 
 def line_breaks(text: Column) -> Column:

@@ -2,8 +2,7 @@
 
 No parser is involved.  Strings and comments are masked first, so their content
 never counts.  Known limits: in Python, a definition that does not start its
-line and text dedented by more than eight nested brackets; in the braced
-languages, code inside template literals, macros that hide braces, headers whose
+line; in the braced languages, code inside template literals, macros that hide braces, headers whose
 parameters nest more than three parentheses deep, and declarations without a body.
 Method names of C++ classes are given, qualified ones as written.
 """
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
 from codecorpus.functions.arrays import running_sum
-from codecorpus.functions.lexical import line_breaks, line_of, matches, offset_of
+from codecorpus.functions.lexical import JOINED, line_breaks, line_of, matches, offset_of
 from codecorpus.functions.text import WORD, code_pattern, dialect, newline_count, strip, word_class
 
 # --- indentation ------------------------------------------------------------
@@ -156,7 +155,7 @@ JAVA_TOKEN = code_pattern(
 # Groups: function, class, none.
 CPP_TOKEN = code_pattern(
     rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|enum\s++class\b"
-    rf"|(?!class\b){_NO_CONTROL}(?:{_TYPE}(?:\s*+[*&]++\s*+|\s++)){{0,8}}?(?=[\w~:]++\s*+\(|operator\b){_NO_CONTROL}"
+    rf"|(?!class\b){_NO_CONTROL}(?:{_TYPE}(?:\s*+[*&]++\s*+|\s++))*?(?=[\w~:]++\s*+\(|operator\b){_NO_CONTROL}"
     rf"((?:{NAME}::)*+(?:~?{NAME}|operator\s*+[^\s\w(]++))\s*+{PARAMETERS}"
     r"(?:\s*+(?:const|override|final|noexcept|volatile|&&?|->\s*+[\w:<>*& ]++))*+"
     r"(?:\s*+:(?!:)[^{};]*+)?\s*+\{"
@@ -172,7 +171,8 @@ EXPRESSION_BEFORE = code_pattern(
 def _node_type(language: Column, before: Column, text: Column, first: Column, second: Column, third: Column) -> Column:
     """Type of a header by the group that is filled; NULL for what is no segment."""
     key = F.lower(language)
-    expression = F.right(before, F.lit(40)).rlike(EXPRESSION_BEFORE)
+    # No word of the pattern is longer than six letters, so with the blanks gone eight characters tell.
+    expression = F.right(F.rtrim(before, F.lit(" \t\r\f\n" + JOINED)), F.lit(8)).rlike(EXPRESSION_BEFORE)
     return (
         F.when(
             second != "",

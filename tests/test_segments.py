@@ -255,3 +255,46 @@ def test_imports_calls_and_uses(files_of):
     expected = sorted((n.id, n.lineno) for n in ast.walk(tree) if isinstance(n, ast.Name))
     uses = sorted((r.name, r.line_no) for r in dependencies.extract_variables(files).collect())
     assert uses == expected
+
+
+def _definitions(spark, path, text):
+    files = spark.createDataFrame([("r", path, len(text), text)], "repo string, path string, size long, content string")
+    return segmentation.segment_code(files).orderBy("segment_no").collect()
+
+
+def test_brackets_of_any_depth_and_brackets_that_stay_open(spark):
+    deep = "(" * 30 + "\n1,\n" + ")" * 30
+    text = f"def f():\n    x = [\n1,\n{deep}]\n    return x\n\ndef g():\n    return 1\n"
+    assert [(s.name, s.code.endswith("return x") or s.name == "g") for s in _definitions(spark, "a.py", text)] == [("f", True), ("g", True)]
+    assert [s.name for s in _definitions(spark, "a.py", "x = (1,\n2\ndef f():\n    return 1\ndef g():\n    return 2\n")] == ["f", "g"]
+
+
+def test_many_type_words_and_long_gaps(spark):
+    found = _definitions(spark, "a.cpp", "static inline constexpr extern volatile const unsigned long long int f(int x) { return x; }\n")
+    assert [(s.name, s.start_char) for s in found] == [("f", 0)]
+    gap = "/* " + "c" * 60 + " */"
+    kinds = [s.node_type for s in _definitions(spark, "a.js", f"const f = {gap} function g() {{ return 1 }}\nfunction h() {{ }}\n")]
+    assert kinds == ["function_expression", "function_declaration"]
+    assert [s.name for s in _definitions(spark, "a.js", "const f =" + "\n" * 45 + "class Q { }\nclass R { }\n")] == ["R"]
+
+
+def test_calls_through_this_and_blanks_of_any_number(spark):
+    cases = {
+        "a.java": ("class A { void m() { super.x(); this.y(); assert ok(); new     B(); int     g(int a); return     h(1); } }", ["super.x", "this.y", "h"]),
+        "a.js": ("class A { m() { this.go(); self.go(); if (a) { b   (1) } } }", ["this.go", "self.go", "b"]),
+        "a.cpp": ("int     g(int);\nint f(int x) { return       g(x); }\n", ["g"]),
+        "a.py": ("def         f(a):\n    return g(a)\n", ["g"]),
+    }
+    rows = [("r", p, len(t), t) for p, (t, _) in cases.items()]
+    files = spark.createDataFrame(rows, "repo string, path string, size long, content string")
+    found = {}
+    for r in dependencies.extract_calls(files).collect():
+        found.setdefault(r.path, []).append(r.name)
+    assert {p: sorted(n) for p, n in found.items()} == {p: sorted(n) for p, (_, n) in cases.items()}
+
+
+def test_uses_don_t_depend_on_the_number_of_blanks(spark):
+    text = "def f(a=   B, c=      D):\n    g(" + " " * 120 + "key=value)\n"
+    files = spark.createDataFrame([("r", "a.py", len(text), text)], "repo string, path string, size long, content string")
+    names = [r.name for r in dependencies.extract_variables(files).collect()]
+    assert "B" in names and "D" in names and "key" not in names and "value" in names
