@@ -639,14 +639,14 @@ def validation_reports_strict(spark, sf):
 @query
 def corpus_to_requests(spark, sf):
     """Scan rules, classification, segments, contexts and requests in one map over the corpus."""
-    return conversion.corpus_to_requests(code(spark, sf), TARGET, limited=False)
+    return conversion.corpus_to_requests(code(spark, sf), TARGET)
 
 
 @query
 def corpus_report_segments(spark, sf):
-    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf), limited=False)).segments
+    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).segments
 
 
 @query
 def corpus_report_node_types(spark, sf):
-    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf), limited=False)).node_types
+    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).node_types

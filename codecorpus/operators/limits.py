@@ -14,7 +14,7 @@ from codecorpus import fixed_values as fixed
 from codecorpus.functions.arrays import empty_array
 from codecorpus.functions.text import exceeds_lines, first_lines
 from codecorpus.operators.common import FILE
-from codecorpus.session import BROADCAST_ROWS, cut
+from codecorpus.session import cut
 
 
 def truncate_lines(files: DataFrame, max_lines: int = fixed.MAX_LINES) -> DataFrame:
@@ -26,16 +26,19 @@ def truncate_lines(files: DataFrame, max_lines: int = fixed.MAX_LINES) -> DataFr
 
 
 def limit_files(files: DataFrame, n: int = fixed.MAX_SCAN_FILES) -> DataFrame:
-    """The first ``n`` files of each repository by path.
+    """The first ``n`` files of each repository by path, for any ``n``.
 
-    Catalyst limits each partition before the shuffle, so a large repository
-    sends at most ``n`` rows per task.  Content does not take part in the sort.
+    Positions come from a sort over all tasks, so no task ever gets a whole repository.
+    Content does not take part in the sort.
     """
-    order = Window.partitionBy("repo").orderBy("path")
-    keys = files.select(*FILE).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
+    keys = ranked(files, "repo", ["path"], "_rank").filter(F.col("_rank") <= n)
     return files.join(keys.select(*FILE), FILE, "left_semi")
 
 
+# Rows of a repository that one step of the budget walks at most; the result does not depend on it.
+HEAD = 512
+
+
 def _admit(rows: Column, room: Column, count: Column, max_files: int) -> Column:
     """Walk at most ``max_files`` rows in path order and take what still fits."""
     start = F.struct(
@@ -63,23 +66,21 @@ def admit_within_budget(
 
     A file that does not fit is skipped and the walk goes on.  Room only
     shrinks, so a file larger than the present room never fits again; the next
-    ``max_files`` files that fit the present room therefore decide the walk up
+    ``HEAD`` files that fit the present room therefore decide the walk up
     to the last of them.  Each round walks those, then drops what has become too
     large.  Every round admits at least one file of each repository still open,
-    usually all it can, so rounds are few and at most ``max_files``; no round
-    brings more than ``max_files`` rows of a repository together.
+    usually all it can, so rounds are few; no round brings more than ``HEAD`` rows
+    of a repository together, and Spark limits each task to as many before the shuffle.
     """
-    left = files.select("repo", "path", F.col("size").cast("long").alias("size")).withColumns(
-        {"room": F.lit(max_total).cast("long"), "count": F.lit(0)}
-    )
+    slim = cut(files.select("repo", "path", F.col("size").cast("long").alias("size")))
+    left = slim.withColumns({"room": F.lit(max_total).cast("long"), "count": F.lit(0)})
     admitted = None
-    admitted_rows = 0
     while True:
         left = left.filter(F.col("size") <= F.col("room"))
         order = Window.partitionBy("repo").orderBy("path")
         head = (
             left.withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= max_files)
+            .filter(F.col("_rank") <= HEAD)
             .groupBy("repo")
             .agg(
                 F.array_sort(F.collect_list(F.struct("path", "size"))).alias("rows"),
@@ -94,29 +95,21 @@ def admit_within_budget(
                 F.col("end")["room"].alias("room"),
                 F.col("end")["count"].alias("count"),
                 F.when(
-                    (F.size("rows") == max_files) & (F.col("end")["count"] < max_files),
+                    (F.size("rows") == HEAD) & (F.col("end")["count"] < max_files),
                     F.element_at("rows", -1)["path"],
                 ).alias("after"),
             )
         )
         kept = walked.select("repo", F.explode("kept").alias("path"))
         admitted = kept if admitted is None else admitted.unionByName(kept)
-        state = walked.agg(
-            F.coalesce(F.sum(F.size("kept")), F.lit(0)).alias("kept"), F.count("after").alias("still_open")
-        ).first()
-        admitted_rows += state["kept"]
-        if state["still_open"] == 0:
-            break
         still_open = walked.filter(F.col("after").isNotNull()).select("repo", "room", "count", "after")
-        if state["still_open"] <= BROADCAST_ROWS:
-            still_open = F.broadcast(still_open)
+        if still_open.isEmpty():
+            break
         left = cut(
             left.select("repo", "path", "size")
             .join(still_open, "repo")
             .filter((F.col("path") > F.col("after")) & (F.col("size") <= F.col("room")))
         )
-    if admitted_rows <= BROADCAST_ROWS:
-        admitted = F.broadcast(admitted)
     return files.join(admitted, FILE, "left_semi")
 
 
@@ -124,20 +117,18 @@ def ranked(rows: DataFrame, group: str, order: list[str], name: str, keep: tuple
     """Position 1..n of each row within its group, also for groups that exceed one task.
 
     Rows are sorted over all tasks by (group, order).  Within a task, positions
-    follow from the running id; the rows a group has in earlier tasks are added
+    follow from the order in which it holds them; the rows a group has in earlier tasks are added
     from a table with one row per task and group.  ``keep`` names columns to carry along.
     """
     slim = cut(rows.select(group, *order, *keep))
     placed = cut(
         slim.orderBy(group, *order)
         .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33))
+        .withColumn("_part", F.spark_partition_id())
     )
     runs = placed.groupBy(group, "_part").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = cut(runs.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
-    if runs.count() <= BROADCAST_ROWS:
-        runs = F.broadcast(runs)
     return placed.join(runs, [group, "_part"]).select(
         group, *order, *keep, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(name)
     )

@@ -18,24 +18,44 @@ from codecorpus.operators.validation import pair_languages, run_validators
 from codecorpus.session import scratch_path
 
 
-def scan_corpus(files: DataFrame, limited: bool = True) -> DataFrame:
+def scan_corpus(
+    files: DataFrame,
+    max_bytes: int | None = None,
+    max_lines: int | None = None,
+    max_total: int | None = None,
+    max_files: int | None = None,
+) -> DataFrame:
     """Scan rules over a ``files`` table.  Filters need no content, so they reach the scan.
 
-    ``limited`` applies the per-repository budget, which suits one interactive
-    run; a whole corpus goes without.
+    Limits are off unless they are given: the size of a file, its lines (``truncated`` tells
+    which files had more), and per repository the bytes and files in all, which suit one
+    interactive run.  ``left_out`` counts what they keep back.
     """
-    kept = scannable(files)
-    if limited:
-        kept = admit_within_budget(kept)
-    return truncate_lines(kept)
+    kept = scannable(files, max_bytes)
+    if max_total is not None or max_files is not None:
+        most = (1 << 62) if max_total is None else max_total
+        kept = admit_within_budget(kept, most, (1 << 31) - 1 if max_files is None else max_files)
+    return kept if max_lines is None else truncate_lines(kept, max_lines)
 
 
-def corpus_to_requests(files: DataFrame, target: str, limited: bool = True) -> DataFrame:
-    """Files to one request per function or class.
+def left_out(files: DataFrame, **limits: int) -> DataFrame:
+    """Per repository: files by the scan rules, and how many of them limits leave out or truncate."""
+    scanned = scan_corpus(files, **limits)
+    cut_short = F.count_if("truncated") if "truncated" in scanned.columns else F.lit(0).cast("long")
+    kept = scanned.groupBy("repo").agg(F.count("*").alias("kept"), cut_short.alias("truncated"))
+    every = scannable(files, None).groupBy("repo").agg(F.count("*").alias("files"))
+    none = F.lit(0).cast("long")
+    return every.join(kept, "repo", "left").select(
+        "repo", "files", (F.col("files") - F.coalesce("kept", none)).alias("left_out"), F.coalesce("truncated", none).alias("truncated")
+    )
 
-    Without the budget this is a single map over the files: no shuffle at all.
+
+def corpus_to_requests(files: DataFrame, target: str, **limits: int) -> DataFrame:
+    """Files to one request per function or class; ``limits`` are those of ``scan_corpus``.
+
+    Without a budget this is a single map over the files: no shuffle at all.
     """
-    convertible = rechunked(filter_convertible(classify(scan_corpus(files, limited))))
+    convertible = rechunked(filter_convertible(classify(scan_corpus(files, **limits))))
     return conversion_requests(convertible, target)
 
 

@@ -84,3 +84,17 @@ def test_filters(spark):
     assert [r.path for r in filters.filter_file_name(named).collect()] == ["config.json.py"]
     languages = spark.createDataFrame([("C++",), ("R",), ("sql",), ("unknown",), ("C",)], "language string")
     assert {r.language for r in filters.filter_convertible(languages.withColumn("path", F.lit("x"))).collect()} == {"C++", "sql"}
+
+
+def test_limits_beyond_a_head(spark):
+    rows = [("r", f"f{i:05}", 1 + i % 7) for i in range(1_400)] + [("s", "a", 1)]
+    files = frame(spark, rows)
+    assert limits.limit_files(files, 1_200).count() == 1_201
+    for budget, most in ((3_000, 1_300), (10**9, 1_000), (2_500, 10**6)):
+        room, kept = budget, set()
+        for repo, path, size in rows[:-1]:
+            if size <= room and len(kept) < most:
+                room -= size
+                kept.add(path)
+        found = limits.admit_within_budget(files, budget, most).collect()
+        assert {r.path for r in found if r.repo == "r"} == kept

@@ -23,7 +23,7 @@ def stored(spark, tmp_path_factory):
 
 
 def test_files_become_requests_without_a_shuffle(stored):
-    plan = physical(corpus_to_requests(stored[0], "Java", limited=False))
+    plan = physical(corpus_to_requests(stored[0], "Java"))
     assert "Exchange" not in plan and "Join" not in plan
     assert "LessThanOrEqual(size," in plan
 

@@ -95,3 +95,37 @@ def test_whole_conversion(spark, files_of):
     assert [(r.overall_passed, r.is_cross_language) for r in done.reports.collect()] == [(True, True)]
     assert [r.status for r in done.promoted.collect()] == ["validated"]
     assert tuple(done.summary.first()) == (2, 1, 50.0)
+
+
+def test_an_entry_that_cannot_be_read_hides_no_other(spark, tmp_path):
+    for name in "abcdefgh":
+        (tmp_path / f"{name}.py").write_text("x = 1\n")
+    (tmp_path / "loop.py").symlink_to(tmp_path / "loop.py")
+    with pytest.warns(UserWarning, match="1 entries"):
+        found = tree.scan_files(spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in found) == [f"{name}.py" for name in "abcdefgh"]
+
+
+def test_another_target_leaves_the_first(spark, tmp_path):
+    for folder in ("java", "csharp", "java"):
+        row = ("r", "a.py", f"{folder}/a", folder, folder, folder)
+        frame = spark.createDataFrame([row], "repo string, source_path string, output_path string, target_language string, target_folder string, content string")
+        sinks.write_converted(frame, str(tmp_path / "t"))
+    assert sorted(r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["csharp", "java"]
+
+
+def test_two_files_of_one_path_are_an_error(spark, tmp_path):
+    frame = spark.createDataFrame([("java/a.java", "1"), ("java/a.java", "2")], "output_path string, content string")
+    with pytest.raises(ValueError, match="java/a.java"):
+        sinks.export_tree(frame, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_limits_are_off_unless_given_and_what_they_leave_out_is_counted(spark):
+    long_file = "x = 1\n" * 3_000
+    rows = [("r", f"f{i}.py", len(long_file), long_file) for i in range(150)]
+    files = spark.createDataFrame(rows, "repo string, path string, size long, content string")
+    whole = conversion.scan_corpus(files)
+    assert whole.count() == 150 and whole.where(F.length("content") < len(long_file)).isEmpty()
+    left = conversion.left_out(files, max_lines=1_000, max_files=100).first()
+    assert (left.files, left.left_out, left.truncated) == (150, 50, 100)
