@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
-from codecorpus.functions.arrays import empty_array
+from codecorpus.functions.arrays import empty_array, let
 from codecorpus.functions.lexical import AFTER, AFTER_BREAK, AFTER_JOINED, matches, replace_matches
 from codecorpus.functions.segments import CONTROL_WORDS, PARAMETERS
 from codecorpus.functions.text import WORD, code_pattern, dialect, word_class
@@ -32,6 +32,10 @@ JAVA_IMPORT = r"\bimport\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;"
 SCRIPT_IMPORT_STATEMENT = code_pattern(r'\bimport\b(?:[\w$*{},\s]+?\bfrom\b)?\s*+"++(?:[^\S\n]*+;)?')
 
 
+# An import for its effects alone names only a module.
+SCRIPT_IMPORT_ALONE = r"\bimport\s*[\"']([^\"'\n]+)[\"']"
+
+
 def _import(kind: Column, text: Column, module: Column, start: Column) -> Column:
     return F.struct(
         kind.alias("kind"),
@@ -42,8 +46,15 @@ def _import(kind: Column, text: Column, module: Column, start: Column) -> Column
     )
 
 
-def _pattern_imports(content: Column, kind: str, pattern: str, groups: tuple[str, ...]) -> Column:
-    found = matches(content, dialect(pattern), groups)
+def _pattern_imports(content: Column, visible: Column, kind: str, pattern: str, groups: tuple[str, ...]) -> Column:
+    """Matches whose first character shows in ``visible``, the text without comments and strings."""
+
+    def shown(m: Column) -> Column:
+        first = F.ltrim(m["text"], F.lit(" \t\n"))
+        at = m["start"] + F.length(m["text"]) - F.length(first) + 1
+        return F.substring(visible, at, F.lit(1)) == F.left(first, F.lit(1))
+
+    found = F.filter(matches(content, dialect(pattern), groups), shown)
     return F.transform(found, lambda m: _import(F.lit(kind), m["text"], m["module"], m["start"]))
 
 
@@ -61,22 +72,28 @@ def python_imports(content: Column, hidden: Column) -> Column:
     return F.transform(matches(hidden, PYTHON_IMPORT, ("origin", "plain")), statement)
 
 
-def script_imports(content: Column) -> Column:
+def script_imports(content: Column, visible: Column) -> Column:
     return F.concat(
-        _pattern_imports(content, "import", fixed.SCRIPT_IMPORT_FROM, ("names", "module")),
-        _pattern_imports(content, "require", fixed.SCRIPT_REQUIRE, ("module",)),
+        _pattern_imports(content, visible, "import", fixed.SCRIPT_IMPORT_FROM, ("names", "module")),
+        _pattern_imports(content, visible, "import", SCRIPT_IMPORT_ALONE, ("module",)),
+        _pattern_imports(content, visible, "require", fixed.SCRIPT_REQUIRE, ("module",)),
     )
 
 
 def imports(content: Column, hidden: Column, language: Column) -> Column:
-    """``array<struct<kind, text, module, start_char, end_char>>``; ``hidden`` is the masked text."""
+    """``array<struct<kind, text, module, start_char, end_char>>``; ``hidden`` is the masked text.
+
+    What stands in a comment or a string is no import.  Directives of C++ are blank in the
+    masked text, and C# has none, so for these comments and strings are masked by themselves.
+    """
     key = F.lower(language)
+    visible = lexical.mask(content, "java")
     return (
         F.when(key == "python", python_imports(content, hidden))
-        .when(key == "javascript", script_imports(content))
-        .when(key == "java", _pattern_imports(content, "import", JAVA_IMPORT, ("module",)))
-        .when(key.isin("c++", "cpp"), _pattern_imports(content, "include", fixed.CPP_INCLUDE, ("module",)))
-        .when(key == "c#", _pattern_imports(content, "using", fixed.CSHARP_USING, ("module",)))
+        .when(key == "javascript", script_imports(content, hidden))
+        .when(key == "java", _pattern_imports(content, hidden, "import", JAVA_IMPORT, ("module",)))
+        .when(key.isin("c++", "cpp"), let(visible, lambda v: _pattern_imports(content, v, "include", fixed.CPP_INCLUDE, ("module",))))
+        .when(key == "c#", let(visible, lambda v: _pattern_imports(content, v, "using", fixed.CSHARP_USING, ("module",))))
         .otherwise(empty_array(IMPORT_TYPE))
     )
 

@@ -298,3 +298,18 @@ def test_uses_don_t_depend_on_the_number_of_blanks(spark):
     files = spark.createDataFrame([("r", "a.py", len(text), text)], "repo string, path string, size long, content string")
     names = [r.name for r in dependencies.extract_variables(files).collect()]
     assert "B" in names and "D" in names and "key" not in names and "value" in names
+
+
+def test_imports_in_comments_and_strings_don_t_count(spark):
+    cases = {
+        "a.java": ('// import a.b;\nimport c.d;\nclass A { String s = "import e.f;"; }\n', ["c.d"]),
+        "a.cpp": ('/* #include <no.h> */\n#include <yes.h>\nconst char* s = "#include <neither.h>";\n', ["yes.h"]),
+        "a.cs": ('// using A;\nusing B;\nclass C { string s = "using D;"; }\n', ["B"]),
+        "a.js": ('// import a from "no";\nimport a from "yes";\nimport "side";\nconst s = `require("neither")`;\nconst t = require("too");\n', ["yes", "side", "too"]),
+    }
+    rows = [("r", p, len(t), t) for p, (t, _) in cases.items()]
+    files = spark.createDataFrame(rows, "repo string, path string, size long, content string")
+    found = {}
+    for r in dependencies.extract_imports(files).collect():
+        found.setdefault(r.path, []).append(r.module)
+    assert {p: sorted(n) for p, n in found.items()} == {p: sorted(n) for p, (_, n) in cases.items()}
