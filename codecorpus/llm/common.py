@@ -55,49 +55,72 @@ def in_slices(frames: Iterator[pd.DataFrame], column: str, most: int = 8_000_000
             yield frame.iloc[start:stop]
 
 
-def in_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys out of batches that are sorted by them; only one group is held back."""
-    held: list[pd.DataFrame] = []
+Group = dict[str, np.ndarray]
+
+
+def in_groups(frames: Iterator[pd.DataFrame], keys: list[str], least: int = 1) -> Iterator[Group]:
+    """Groups of equal keys, as arrays, out of batches that are sorted by them.
+
+    Only one group is held back. Groups of fewer than ``least`` rows are passed over at once.
+    """
+    held: list[Group] = []
     for frame in frames:
         if not len(frame):
             continue
-        codes = [frame[k].to_numpy() for k in keys]
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
         changed = np.zeros(len(frame) - 1, dtype=bool)
-        for code in codes:
-            changed |= code[1:] != code[:-1]
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(frame)]
-        if held and any(held[-1][k].iloc[-1] != frame[k].iloc[0] for k in keys):
-            yield pd.concat(held) if len(held) > 1 else held[0]
+        for k in keys:
+            changed |= columns[k][1:] != columns[k][:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(changed) + 1, [len(frame)]])
+
+        def part(i: int, columns: Group = columns, cuts: np.ndarray = cuts) -> Group:
+            return {c: v[cuts[i] : cuts[i + 1]] for c, v in columns.items()}
+
+        last = len(cuts) - 2
+        if held and any(held[-1][k][-1] != columns[k][0] for k in keys):
+            yield _joined(held)
             held = []
-        for i, (start, stop) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            part = frame.iloc[start:stop]
-            if i == len(cuts) - 2:
-                held.append(part)
-            elif held:
-                yield pd.concat([*held, part])
+        first = 0
+        if held:
+            held.append(part(0))
+            first = 1
+            if last > 0:
+                yield _joined(held)
                 held = []
-            else:
-                yield part
+        for i in np.flatnonzero(np.diff(cuts) >= least):
+            if first <= i < last:
+                yield part(i)
+        if last >= first:
+            held = [part(last)]
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield _joined(held)
+
+
+def _joined(parts: list[Group]) -> Group:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def over_groups(frame: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+def over_groups(frame: DataFrame, keys: list[str], work: Callable[[Group], list[tuple] | None], schema: str, least: int = 1) -> DataFrame:
     """``work`` on every group of equal keys: one shuffle, a sort in each partition, a stream of groups.
 
     Thousands of groups pass through one Python call; a batch of results is handed on at a time.
+    ``work`` gets the columns as arrays and returns rows of ``schema``.
     """
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready, rows = [], 0
-        for group in in_groups(frames, keys):
-            if (out := work(group)) is not None and len(out):
-                ready.append(out)
-                rows += len(out)
-            if rows > 20_000:
-                yield pd.concat(ready)
-                ready, rows = [], 0
+        ready: list[tuple] = []
+        for group in in_groups(frames, keys, least):
+            ready += work(group) or []
+            if len(ready) > 20_000:
+                yield as_frame(ready, names)
+                ready = []
         if ready:
-            yield pd.concat(ready)
+            yield as_frame(ready, names)
 
     return frame.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def as_frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame; whole numbers stay whole where a column has nulls."""
+    return pd.DataFrame({n: pd.Series(c, dtype=object) if None in c else list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import fresh, in_slices, row_key, written
+from codecorpus.llm.common import Group, fresh, in_slices, row_key, written
 from codecorpus.llm.components import components
 from codecorpus.llm.hashing import mixed, set_hash, shingle_hashes
 from codecorpus.llm.tiles import Forest, compare_tiles
@@ -84,33 +84,28 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame | None:
-        left = left.drop_duplicates("id")
-        right_of = left if right is None else right.drop_duplicates("id")
-        a = [np.frombuffer(x, dtype=np.uint64) for x in left.hashes]
-        b = [np.frombuffer(x, dtype=np.uint64) for x in right_of.hashes]
+    def run(left: Group, right: Group | None) -> list[tuple] | None:
+        other = left if right is None else right
+        a = [np.frombuffer(x, dtype=np.uint64) for x in left["hashes"]]
+        b = [np.frombuffer(x, dtype=np.uint64) for x in other["hashes"]]
         if right is None and len(a) == 2:
             both = len(np.intersect1d(a[0], a[1], assume_unique=True))
-            shared = np.array([[0, both], [both, 0]], dtype=np.float64)
-        else:
-            shared = _shared(a, b)
+            if both < threshold * (len(a[0]) + len(a[1]) - both) - 1e-9:
+                return None
+            (i, j), (m, n) = left["id"].tolist(), left["copies"].tolist()
+            return [(i, None, n), (j, None, m), (i, j, 0)]
+        shared = _shared(a, b)
         total = np.array([len(x) for x in a], dtype=np.float64)[:, None] + np.array([len(x) for x in b])[None, :] - shared
         linked = shared >= threshold * total - 1e-9
         if right is None:
             np.fill_diagonal(linked, False)
-        if not linked.any():
-            return None
-        ids_a, ids_b = left.id.to_numpy(), right_of.id.to_numpy()
-        copies_a, copies_b = left.copies.to_numpy(), right_of.copies.to_numpy()
-        found = [pd.DataFrame({"a": ids_a, "b": pd.array([None] * len(ids_a), dtype="Int64"), "links": linked @ copies_b})]
+        ids_a, ids_b = left["id"].tolist(), other["id"].tolist()
+        rows = [(i, None, n) for i, n in zip(ids_a, (linked @ other["copies"]).tolist(), strict=True) if n]
         if right is not None:
-            found.append(pd.DataFrame({"a": ids_b, "b": pd.array([None] * len(ids_b), dtype="Int64"), "links": linked.T @ copies_a}))
-        forest = Forest(len(ids_a) + (0 if right is None else len(ids_b)))
+            rows += [(i, None, n) for i, n in zip(ids_b, (linked.T @ left["copies"]).tolist(), strict=True) if n]
         shift = 0 if right is None else len(ids_a)
-        pairs = [(i, j) for i, j in zip(*np.nonzero(linked), strict=True) if forest.join(int(i), int(j) + shift)]
-        found.append(pd.DataFrame({"a": [ids_a[i] for i, _ in pairs], "b": pd.array([ids_b[j] for _, j in pairs], dtype="Int64"), "links": 0}))
-        out = pd.concat(found)
-        return out[(out.links > 0) | out.b.notna()]
+        forest = Forest(shift + len(ids_b))
+        return rows + [(ids_a[i], ids_b[j], 0) for i, j in np.argwhere(linked).tolist() if forest.join(i, j + shift)]
 
     return run
 
@@ -142,11 +137,11 @@ def ngram_join(
     """
     bands, rows = bands_for(threshold, recall)
     kid, kh = row_key(F.col(id_column), F.col(text_column))
-    keyed = docs.select(F.col(id_column).cast("long").alias("id"), kid.alias("kid"), kh.alias("kh"), F.col(text_column).alias("text"))
+    keyed = docs.select(F.col(id_column).cast("string").alias("id"), kid.alias("kid"), kh.alias("kh"), F.col(text_column).alias("text"))
     sketch = written(
-        keyed.mapInPandas(_signatures(n, bands, rows, seed), "id long, kid long, kh long, size int, cls long, bands array<long>"),
+        keyed.mapInPandas(_signatures(n, bands, rows, seed), "id string, kid long, kh long, size int, cls long, bands array<long>"),
         "minhash",
-    )
+    ).withColumn("id", F.col("id").cast("long"))
     classes = written(
         sketch.where("size > 0").groupBy(F.col("cls").alias("id")).agg(
             F.count("*").alias("copies"), F.min(F.struct("kid", "kh", F.col("id").alias("doc"))).alias("first"),

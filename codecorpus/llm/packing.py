@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import in_slices, over_groups
+from codecorpus.llm.common import Group, in_slices, over_groups
 
 #: How the vocabulary's authors part a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,15 +114,16 @@ def _pieces(vocabulary: str, capacity: int, end: int):
     return run
 
 
-_PIECE = "id long, box int, place long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECE = "id string, box int, place long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pack(capacity: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "start"], kind="stable")
-        bins, offsets = first_fit_decreasing(group.length.to_numpy(), capacity)
-        out = group[["id", "start", "length", "ids_crc32", "doc_tokens"]]
-        return out.assign(sequence_id=(group.box.to_numpy(dtype=np.int64) << 36) | bins, offset=offsets)
+    def run(group: Group) -> list[tuple]:
+        order = np.lexsort((group["start"], group["place"]))
+        bins, offsets = first_fit_decreasing(group["length"][order].astype(np.int64), capacity)
+        ids = (group["box"].astype(np.int64)[order] << 36) | bins
+        columns = [group[c][order].tolist() for c in ("id", "start", "length", "ids_crc32", "doc_tokens")]
+        return list(zip(*columns, ids.tolist(), offsets.tolist(), strict=True))
 
     return run
 
@@ -150,9 +151,9 @@ def packed(
     groups = max(1, -(-docs.count() // group_size))
     spread = F.xxhash64(F.lit(seed), F.col(id_column), F.xxhash64(text_column), F.monotonically_increasing_id())
     source = docs.select(
-        F.col(id_column).cast("long").alias("id"), F.pmod(spread, F.lit(groups)).cast("int").alias("box"), spread.alias("place"),
+        F.col(id_column).cast("string").alias("id"), F.pmod(spread, F.lit(groups)).cast("int").alias("box"), spread.alias("place"),
         F.col(text_column).alias("text"),
     )
     pieces = source.mapInPandas(_pieces(vocabulary, capacity, end), _PIECE)
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return over_groups(pieces, ["box"], _pack(capacity), schema)
+    schema = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return over_groups(pieces, ["box"], _pack(capacity), schema).withColumn("id", F.col("id").cast("long"))

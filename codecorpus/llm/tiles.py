@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import over_groups, written
+from codecorpus.llm.common import Group, over_groups, written
 
 KEYS = ["block", "g1", "t1", "g2", "t2"]
 
@@ -17,7 +17,7 @@ KEYS = ["block", "g1", "t1", "g2", "t2"]
 def compare_tiles(
     members: DataFrame,
     payload: DataFrame,
-    work: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame | None],
+    work: Callable[[Group, Group | None], list[tuple] | None],
     schema: str,
     ratio: float,
     rows: int = 128,
@@ -30,7 +30,8 @@ def compare_tiles(
     Sizes fall into classes of that ratio, so only a class and the next can match. A class
     of a block is dealt by id into tiles of about ``rows`` members and ``weight`` of size;
     each pair of tiles is one task's group. A block that fits one tile stays whole.
-    ``work(left, right)`` gets two tiles, or one tile and None, and returns rows of ``schema``.
+    ``work(left, right)`` gets two tiles, or one tile and None, as arrays without repeated
+    ids, and returns rows of ``schema``.
     """
     sized = members.withColumn("g", F.floor(F.log(F.col("size")) / F.lit(math.log(1 / ratio) * (1 + 1e-9))).cast("int"))
     counts = sized.groupBy("block", "g").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
@@ -66,14 +67,20 @@ def compare_tiles(
     tiled = dealt.select(*members.columns, tiles.alias("tiles")).hint("merge").join(payload, "id")
     placed = tiled.select(*columns, F.explode("tiles").alias("tile")).select(*columns, "tile.*")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame | None:
-        first = group.iloc[0]
-        if first.g1 == first.g2 and first.t1 == first.t2:
-            return work(group, None) if len(group) > 1 else None
-        left, right = group[group.side == 0], group[group.side == 1]
-        return work(left, right) if len(left) and len(right) else None
+    def run(group: Group) -> list[tuple] | None:
+        if group["g1"][0] == group["g2"][0] and group["t1"][0] == group["t2"][0]:
+            only = _once(group)
+            return work(only, None) if len(only["id"]) > 1 else None
+        left, right = (_once({c: v[group["side"] == side] for c, v in group.items()}) for side in (0, 1))
+        return work(left, right) if len(left["id"]) and len(right["id"]) else None
 
-    return over_groups(placed, KEYS, run, schema)
+    return over_groups(placed, KEYS, run, schema, least=2)
+
+
+def _once(group: Group) -> Group:
+    """Rows without those whose id has come before."""
+    ids, first = np.unique(group["id"], return_index=True)
+    return group if len(ids) == len(group["id"]) else {c: v[np.sort(first)] for c, v in group.items()}
 
 
 class Forest:
