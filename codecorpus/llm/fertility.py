@@ -119,7 +119,7 @@ def window_entropies(tokens: np.ndarray, sizes: np.ndarray, vocabulary: int) ->
 
 
 _MEASURED = (
-    "id long, kid long, kh long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "id string, kid long, kh long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double"
 )
 
@@ -191,12 +191,13 @@ def judged(
     kid, kh = row_key(F.col(id_column), F.col(text_column))
     lang = F.col(lang_column).cast("string") if lang_column else F.lit(None).cast("string")
     keyed = docs.select(
-        F.col(id_column).cast("long").alias("id"), kid.alias("kid"), kh.alias("kh"), F.col(text_column).alias("text"), lang.alias("lang")
+        F.col(id_column).cast("string").alias("id"), kid.alias("kid"), kh.alias("kh"), F.col(text_column).alias("text"), lang.alias("lang")
     )
     measured = written(keyed.mapInPandas(_measure(model), _MEASURED), "fertility")
     tokens, words = F.greatest("n_tokens", F.lit(1)), F.greatest("n_words", F.lit(1))
     measured = measured.withColumns(
         {
+            "id": F.col("id").cast("long"),
             "band": F.when(F.trim("lang") != "", F.col("lang")).otherwise(F.concat(F.lit("script "), F.col("script"))),
             "chars_per_token": F.col("word_chars") / tokens,
             "fertility": F.col("n_tokens") / words,

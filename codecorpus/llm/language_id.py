@@ -134,12 +134,12 @@ def identify(
     if declared is None:
         declared = F.regexp_extract(F.coalesce(F.col(text_column), F.lit("")), r"(?i)<html[^>]*\slang=[\"']?([a-zA-Z]+)", 1)
     source = pages.select(
-        F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"),
+        F.col(id_column).cast("string").alias("id"), F.col(url_column).cast("string").alias("url"),
         F.lower(F.coalesce(declared, F.lit(""))).alias("declared"), F.col(text_column).alias("text"),
     )
     scored = written(
-        source.mapInPandas(_likelihoods(model, markup, effective), "id long, url string, declared string, logs array<double>"), "likelihoods"
-    )
+        source.mapInPandas(_likelihoods(model, markup, effective), "id string, url string, declared string, logs array<double>"), "likelihoods"
+    ).withColumn("id", F.col("id").cast("long"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
     labels = F.split("host", r"\.")
     scored = scored.withColumn("host", host).withColumns(
