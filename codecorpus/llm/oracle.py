@@ -29,6 +29,54 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from d left join hit_words using (r) left join hit_items using (r)
 """
 
+
+
+def _digest(text: str) -> str:
+    """sha1 in base 32: five bits of every ten hexadecimal digits in turn."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(sha1({0}), 1 + 10 * g, 10) as bigint) >> (35 - 5 * i)) & 31) + 1, 1)"
+    group = f"array_to_string(list_transform(range(0, 8), lambda i: {digit.format(text)}), '')"
+    return f"'sha1:' || array_to_string(list_transform(range(0, 4), lambda g: {group}), '')"
+
+
+def _record_id(kind: str, *parts: str) -> str:
+    digits = f"md5(concat_ws(chr(10), '{kind}', {', '.join(parts)}))"
+    groups = [f"substr({digits}, {a}, {n})" for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    return f"concat('<urn:uuid:', {groups[0]}, '-', {groups[1]}, '-3', {groups[2]}, '-8', {groups[3]}, '-', {groups[4]}, '>')"
+
+
+_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+_HIDDEN = "script|style|noscript|template|head"
+OP2 = rf"""
+with p as (select page_id, url, coalesce(html, '') as payload from pages
+), d as (select *, {_digest("payload")} as source_digest from p
+), r as (select *, {_record_id("response", "cast(page_id as varchar)", "url", "source_digest")} as refers_to from d
+), c as (
+    select *, {_record_id("conversion", "refers_to")} as conversion, {_record_id("metadata", "refers_to")} as metadata,
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<(?:{_HIDDEN})[\s>].*?</(?:{_HIDDEN})\s*>', ' ', 'g'),
+            '[ \t\r\n\f]+', ' ', 'g'), '(?i)</?(?:{_TAGS})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') as raw
+    from r
+), t as (
+    select *, replace(replace(replace(replace(replace(replace(raw, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as decoded
+    from c
+), m as (
+    select page_id, 'conversion' as warc_type, conversion as warc_id, refers_to, url, source_digest, 'text/plain; charset=utf-8' as content_type,
+        trim(regexp_replace(regexp_replace(decoded, ' *\n[ \n]*', chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)) as block
+    from t
+    union all
+    select page_id, 'metadata', metadata, refers_to, url, source_digest, 'application/warc-fields',
+        array_to_string(['http-status: 200', 'http-Content-Type: text/html; charset=utf-8', 'http-Content-Length: ' || strlen(payload),
+            'payload-digest: ' || source_digest, 'payload-length: ' || strlen(payload),
+            'title: ' || trim(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)</title', 1)),
+            'language: ' || trim(regexp_extract(payload, '(?i)<html[^>]*\slang="([^"]*)"', 1)),
+            'links: ' || len(regexp_extract_all(payload, '(?i)<a\s[^>]*href=')), 'conversion: ' || conversion], chr(13) || chr(10)) || chr(13) || chr(10)
+    from c
+)
+select page_id, warc_type, warc_id, refers_to, url as target_uri, '2024-01-01T00:00:00Z' as date, content_type,
+       {_digest("block")} as block_digest, source_digest, strlen(block) as block_bytes, md5(block) as block_md5
+from m
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_warc_derivatives": OP2,
     "op5_benchmark_decontamination": OP5,
 }
