@@ -332,7 +332,9 @@ def oracle(name: str, *needed: str, body: str) -> None:
 
     for cte in needed:
         add(cte)
-    ctes = ", ".join(f"{w} as ({CTE[w]})" for w in wanted)
+    # Texts and what is counted in them are derived once, however often they are read.
+    once = {"blocks", "files", "pairs", "elements", "measured"}
+    ctes = ", ".join(f"{w} as {'materialized ' if w in once else ''}({CTE[w]})" for w in wanted)
     kind = "with recursive" if "walk as" in body else "with"
     if body.lstrip().startswith(","):
         ORACLES[name] = f"{kind} {ctes}{body}"
