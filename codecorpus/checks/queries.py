@@ -529,7 +529,7 @@ def pass_fail_counts(spark, sf):
 
 @query
 def validation_matrix(spark, sf):
-    return reports.validation_matrix(judged(spark, sf)[0])
+    return reports.matrix_of_reports(judged(spark, sf)[1])
 
 
 # --- graph ------------------------------------------------------------------
@@ -537,8 +537,7 @@ def validation_matrix(spark, sf):
 
 @query
 def dependency_nodes(spark, sf):
-    files = code(spark, sf)
-    return dependencies.dependency_nodes(dependencies.extract_modules(files), dependencies.extract_calls(files))
+    return dependencies.dependency_nodes_of_files(code(spark, sf))
 
 
 @query
@@ -554,8 +553,7 @@ def dependency_edges(spark, sf):
 
 @query
 def module_fan_in(spark, sf):
-    edges = dependencies.dependency_edges(dependencies.extract_imports(code(spark, sf)))
-    return dependencies.module_fan_in(edges, 25)
+    return dependencies.module_fan_in_of_files(code(spark, sf), 25)
 
 
 # --- validation -------------------------------------------------------------

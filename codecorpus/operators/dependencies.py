@@ -72,6 +72,19 @@ def dependency_nodes(modules: DataFrame, calls: DataFrame) -> DataFrame:
     return _nodes(modules, calls, []).distinct()
 
 
+def dependency_nodes_of_files(files: DataFrame) -> DataFrame:
+    """The same straight from the files: one masking, and what a file repeats is merged in its row."""
+
+    def nodes(names: Column, node_type: str) -> Column:
+        named = F.filter(names, lambda n: n.isNotNull())
+        return F.transform(named, lambda n: F.struct(n.alias("id"), F.lit(node_type).alias("type"), n.alias("label")))
+
+    modules = nodes(F.transform(_imports(), lambda i: i["module"]), "module")
+    called = nodes(F.transform(_calls(True), lambda c: c["name"]), "function")
+    found = F.array_distinct(F.concat(modules, called))
+    return masked(files).select(F.explode(found).alias("node")).select("node.*").distinct()
+
+
 def dependency_nodes_by_file(modules: DataFrame, calls: DataFrame) -> DataFrame:
     """Modules and called functions of each file, repeated calls repeated."""
     return _nodes(modules, calls, FILE)
@@ -92,3 +105,9 @@ def module_fan_in(edges: DataFrame, k: int) -> DataFrame:
     """
     files = edges.select("repo", "from", "to").distinct()
     return files.groupBy("to").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "to").limit(k)
+
+
+def module_fan_in_of_files(files: DataFrame, k: int) -> DataFrame:
+    """The same straight from the files: a file's modules differ within its row, so one aggregate does."""
+    counted = extract_modules(files).groupBy(F.col("module").alias("to")).agg(F.count("*").alias("files"))
+    return counted.orderBy(F.desc("files"), "to").limit(k)

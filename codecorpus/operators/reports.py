@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus import fixed_values as fixed
@@ -113,3 +113,14 @@ def validation_matrix(
     return results.groupBy("pair_id").pivot("validator", list(validators)).agg(F.first("passed"))
 
 
+def matrix_of_reports(
+    reports: DataFrame, validators: Iterable[str] = (REVIEW, SEMANTIC, PERFORMANCE)
+) -> DataFrame:
+    """The same from reports, which hold a pair's outcomes in its row: no shuffle."""
+
+    def outcome(name: str) -> Column:
+        return F.get(F.filter("matrix", lambda m: m["validator"] == name), F.lit(0))["passed"].alias(name)
+
+    return reports.select("pair_id", *[outcome(v) for v in validators])
+
+
