@@ -639,6 +639,18 @@ oracle("corpus_to_requests", "requested", body=f"""
  select repo, path, segment_no, case when path like '%.cs' or path like '%.sql' or path like '%.ts'
         then replace(prompt, concat(chr(10), chr(10), '### END'), concat(chr(10), '### END')) else prompt end as prompt
  from requested where language <> 'unknown' and folder not in ('node_modules', '.git')""")
+_SCANNED = "path not like '%/node_modules/%' and path not like '%/.git/%'"
+oracle("corpus_report_languages", "classified", body=f"""
+ select language, count(*) as files, cast(sum(loc) as bigint) as total_loc,
+        round(100.0 * count(*) / cast(sum(count(*)) over () as double), 1) as share
+ from classified where {_SCANNED} group by language""")
+oracle("corpus_report_details", "per_file", body=f"""
+ select *, cast(null as varchar) as error from per_file where {_SCANNED}""")
+oracle("corpus_report_summary", "per_file", body=f"""
+ select count(*) as total_files, cast(sum(loc) as bigint) as total_loc,
+        cast(count(*) filter (segments_count > 0) as bigint) as files_with_segments,
+        cast(sum(segments_count) as bigint) as total_segments,
+        string_agg(distinct language, ',' order by language) as languages from per_file where {_SCANNED}""")
 oracle("corpus_report_segments", "per_file", body=f"""
  select {_STATS} from per_file where path not like '%/node_modules/%' and path not like '%/.git/%' group by language""")
 oracle("corpus_report_node_types", "segments", body="""

@@ -640,6 +640,22 @@ def corpus_to_requests(spark, sf):
     return conversion.corpus_to_requests(code(spark, sf), TARGET)
 
 
+@query
+def corpus_report_languages(spark, sf):
+    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).languages
+
+
+@query
+def corpus_report_details(spark, sf):
+    return reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).details
+
+
+@query
+def corpus_report_summary(spark, sf):
+    found = reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).summary
+    return found.withColumn("languages", F.array_join("languages", ","))
+
+
 @query
 def corpus_report_segments(spark, sf):
     return reporting.corpus_report(conversion.scan_corpus(code(spark, sf))).segments
