@@ -25,7 +25,8 @@ def stored(spark, tmp_path_factory):
 def test_files_become_requests_without_a_shuffle(stored):
     plan = physical(corpus_to_requests(stored[0], "Java"))
     assert "Exchange" not in plan and "Join" not in plan
-    assert "LessThanOrEqual(size," in plan
+    limited = physical(corpus_to_requests(stored[0], "Java", max_bytes=5 * 1024 * 1024))
+    assert "Exchange" not in limited and "LessThanOrEqual(size," in limited
 
 
 @pytest.mark.parametrize(
