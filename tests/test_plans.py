@@ -3,6 +3,7 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from codecorpus.checks.queries import QUERIES
 from codecorpus.functions.lexical import TOKENS
 from codecorpus.functions.segments import JAVA_TOKEN
 from codecorpus.operators import classify, dependencies, requests, segmentation, validation
@@ -80,7 +81,7 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_gives_the_answer_in_sql(spark, database, name):
     assert name in oracle_sql()
     assert check.compare(spark, database, SMALL, name).startswith("ok")
