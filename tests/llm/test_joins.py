@@ -136,6 +136,16 @@ def test_fuzzy_lines_by_comparing_all(docs, rows):
     assert first[1] == text[1] and first[16] == text[16] and first[17] == text[17]
 
 
+def test_lines_that_differ_in_their_numbers_are_no_copies(spark):
+    texts = ["Chapter 1\n1990: 12\n7\nsame words here", "Chapter 2\n2001: 47\n8\n7\nSame words, here!"]
+    left = without_duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in left} == {0: texts[0], 1: "Chapter 2\n2001: 47\n8"}
+    long = "row {} of the table holds these seven numbers {} {} {} {} {} {} {}"
+    numbers = [long.format(1, *range(100, 107)), long.format(2, *range(987, 980, -1))]
+    left = without_duplicate_lines(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in left} == dict(enumerate(numbers))
+
+
 ITEMS = [
     (1, brute.prose(1, 200)), (2, "One two THREE"), (3, ""), (None, "one"), (4, None), (5, brute.prose(77, 40)), (6, "straße 漢字 ÀÉ ñandú"),
     (6, "straße 漢字 ÀÉ ñandú"), (7, "The very same line of more than eight words stands here the very same"),
