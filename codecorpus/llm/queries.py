@@ -52,7 +52,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = without_duplicate_lines(table(spark, sf_dir, "documents"))
+    cleaned = without_duplicate_lines(table(spark, sf_dir, "documents"), search="edits")
     return cleaned.select("doc_id", F.length("text").alias("n_chars_left"), F.crc32("text").alias("text_crc32"), "n_kept", "n_dropped")
 
 

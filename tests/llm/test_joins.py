@@ -146,6 +146,30 @@ def test_lines_that_differ_in_their_numbers_are_no_copies(spark):
     assert {r.doc_id: r.text for r in left} == dict(enumerate(numbers))
 
 
+def test_lines_of_every_length_by_edit_similarity_of_all_pairs(spark):
+    r = random.Random(12)
+    texts = []
+    for n in [2, 3, 4, 5, 7, 10, 10, 15, 27, 27, 57, 120]:
+        words = brute.prose(r.randrange(10**6), n).split()
+        near, typos = list(words), list(" ".join(words))
+        near[r.randrange(n)] = "".join(r.choice("klmnop") for _ in range(3))
+        for _ in range(len(typos) // 14):
+            typos[r.randrange(len(typos))] = r.choice("qwertz")
+        texts.append("\n".join([" ".join(words), " ".join(near), "".join(typos)]))
+    lines = sorted({" ".join(normalised(x)) for t in texts for x in t.split("\n")})
+    groups = brute.Groups()
+    for i, a in enumerate(lines):
+        groups.root(a)
+        for b in lines[:i]:
+            longest = max(len(a), len(b))
+            if min(len(a), len(b)) >= 0.9 * longest and brute.levenshtein(a, b) <= 0.1 * longest:
+                groups.join(a, b)
+    left = without_duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), search="edits").collect()
+    kept = Counter(groups.root(" ".join(normalised(x))) for row in left for x in row.text.split("\n") if x)
+    assert len({groups.root(x) for x in lines}) < len(lines) - 10
+    assert kept == Counter({groups.root(x) for x in lines})
+
+
 ITEMS = [
     (1, brute.prose(1, 200)), (2, "One two THREE"), (3, ""), (None, "one"), (4, None), (5, brute.prose(77, 40)), (6, "straße 漢字 ÀÉ ñandú"),
     (6, "straße 漢字 ÀÉ ñandú"), (7, "The very same line of more than eight words stands here the very same"),
