@@ -171,6 +171,7 @@ def judged(
     entropy_band: float = 4.0,
     byte_share: float = 0.05,
     least_documents: int = 30,
+    across_scripts: float = 0.1,
 ) -> DataFrame:
     """Measures and verdict of every document; ``model`` is a piece model with byte fallback.
 
@@ -184,7 +185,10 @@ def judged(
     blank. Rejected is: entropy below median - entropy_band spreads; fertility above, or
     characters per token outside, fertility_band spreads, widened for texts of few tokens; a
     byte share above the median by ``byte_share`` and fertility_band spreads. A language of
-    fewer than ``least_documents`` such documents has no bands. ``reason`` names what failed.
+    fewer than ``least_documents`` such documents is judged by the bands of the document's
+    script, and a script of fewer by those of the whole table, however few its documents are;
+    there a spread is at least ``across_scripts`` of the median, as sound texts of another
+    script are further apart than those of one. So every document is judged where any passes the base rule. ``reason`` names what failed.
 
     Null and empty texts have no words and fail the base rule. Every row gets its own result.
     """
@@ -206,15 +210,29 @@ def judged(
         }
     )
     measures = ["chars_per_token", "fertility", "byte_share", "entropy"]
+    # Each document counts for its language, its script and the whole table: levels 0 to 2 of one aggregate.
+    levels = [F.struct(F.lit(i).alias("level"), x.alias("band")) for i, x in enumerate([F.col("band"), F.concat(F.lit("script "), F.col("script")), F.lit("")])]
+    passed = measured.where(~F.col("base_failed")).select("script", *measures, F.inline(F.array(*levels)))
     bands = (
-        measured.where(~F.col("base_failed")).groupBy("band")
+        passed.groupBy("level", "band")
         .agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.1, 0.5, 0.9], 10_000).alias(f"{m}_q") for m in measures])
-        .where(F.col("n") >= least_documents)
+        .where((F.col("level") == 2) | (F.col("n") >= least_documents))
     )
     for m in measures:
         q = F.col(f"{m}_q")
-        bands = bands.withColumns({f"{m}_mid": q[1], f"{m}_spread": F.greatest((q[2] - q[0]) / 2, F.abs(q[1]) * 0.01)}).drop(f"{m}_q")
-    joined = measured.join(written(bands.drop("n"), "bands"), "band", "left")
+        bands = bands.withColumns({f"{m}_mid": q[1], f"{m}_spread": F.greatest((q[2] - q[0]) / 2, F.abs(q[1]) * F.when(F.col("level") == 2, across_scripts).otherwise(0.01))}).drop(f"{m}_q")
+    found = F.struct(*[c for m in measures for c in (f"{m}_mid", f"{m}_spread")])
+    bands = written(bands.select("level", "band", found.alias("found")), "bands")
+
+    def of_level(level: int, key: str) -> DataFrame:
+        return bands.where(F.col("level") == level).select(F.col("band").alias(key), F.col("found").alias(f"found{level}"))
+
+    joined = (
+        measured.withColumns({"by_script": F.concat(F.lit("script "), F.col("script")), "by_all": F.lit("")})
+        .join(of_level(0, "band"), "band", "left").join(of_level(1, "by_script"), "by_script", "left").join(F.broadcast(of_level(2, "by_all")), "by_all", "left")
+        .withColumn("found", F.coalesce("found0", "found1", "found2"))
+    )
+    joined = joined.select(*measured.columns, "found.*")
     wide = fertility_band * F.sqrt(1 + 256 / tokens)
 
     def off(measure: str) -> Column:

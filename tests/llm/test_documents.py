@@ -131,6 +131,17 @@ def test_bands_reject_odd_texts_and_leave_plain_ones(spark):
     assert without_rejected(frame.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_a_rare_language_is_judged_by_its_script(spark):
+    plain = [(i, brute.prose(100 + i, 150 + i % 90), "en") for i in range(80)]
+    rare = [(200, brute.prose(500, 150), "xx"), (201, brute.prose(501, 150), None)]
+    odd = [(300 + i, " ".join(w + "###$$$%%%" for w in brute.prose(300 + i, 150).split()), lang) for i, lang in enumerate(["xx", "garbage", None])]
+    frame = spark.createDataFrame(plain + rare + odd, "doc_id long, text string, lang string")
+    found = judged(frame, vocabulary("piece_bpe_32k.model")).collect()
+    assert sorted(r.id for r in found if not r.kept) == [300, 301, 302]
+    few = spark.createDataFrame(plain[:20] + odd[:1], "doc_id long, text string, lang string")
+    assert [r.id for r in judged(few, vocabulary("piece_bpe_32k.model")).collect() if not r.kept] == [300]
+
+
 @pytest.mark.parametrize("leaf", [1, 4, 40])
 def test_recounting_equals_encoding_anew(leaf):
     r, encode = random.Random(leaf), ByteEncoder(RANKS)
