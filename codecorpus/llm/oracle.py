@@ -76,7 +76,31 @@ select page_id, warc_type, warc_id, refers_to, url as target_uri, '2024-01-01T00
 from m
 """
 
+OP12 = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u,
+           sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents
+), e as (
+    select doc_id, t, u, cast(len(u) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as one,
+           cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as two, cast('0x' || substr(h, 17, 8) as bigint) % 100 as three,
+           cast('0x' || substr(h, 25, 8) as bigint) % 100 as four
+    from d
+), f as (
+    select doc_id, t, n, array_to_string(u[1:least(one, two)], '') as p, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') as m,
+           array_to_string(u[greatest(one, two) + 1:], '') as s,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or three >= 100 then 'plain'
+                when four < 50 then 'spm' else 'psm' end as form
+    from e
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end) as output_sha256,
+       sha256(t) as restored_sha256
+from f
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_derivatives": OP2,
     "op5_benchmark_decontamination": OP5,
+    "op12_fill_in_middle": OP12,
 }

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus.llm.attention_quality import fit as fit_quality
+from codecorpus.llm.attention_quality import scored
 from codecorpus.llm.common import table
 from codecorpus.llm.decontaminate import contamination
 from codecorpus.llm.fertility import judged
+from codecorpus.llm.fill_in_middle import fill_in_middle, with_restored
 from codecorpus.llm.language_id import fit, identify
 from codecorpus.llm.line_dedup import without_duplicate_lines
 from codecorpus.llm.ngram_join import ngram_join
 from codecorpus.llm.packing import packed
+from codecorpus.llm.periodic_runs import periodic_runs
 from codecorpus.llm.shards import sharded
 from codecorpus.llm.style_tree import main_text
 from codecorpus.llm.token_counts import edited_counts, token_tree
@@ -113,6 +118,56 @@ def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "c.tokens_before", "c.tokens_after", "c.leaves", "c.leaves_read", "c.chars_read")
 
 
+def _with_period(texts: pd.Series, draws: pd.Series) -> pd.Series:
+    """The words of texts that have a draw, from a place on with those of one period only; null where there is none."""
+    made = []
+    for text, draw in zip(texts, draws, strict=True):
+        words = text.encode("utf-8").split() if isinstance(text, str) and not pd.isna(draw) else []
+        if not words:
+            made.append(None)
+            continue
+        n, g = len(words), int(draw)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        made.append(b" ".join(words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]).decode("utf-8"))
+    return pd.Series(made, dtype=object)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by a checksum of the id, gets a period first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = h % 10 == 0
+    with_period = F.pandas_udf(_with_period, "string")(F.when(chosen, F.col("text")), F.when(chosen, F.floor(h / 10)))
+    found = periodic_runs(docs.withColumn("text", F.coalesce(with_period, F.col("text"))))
+    # Longest run; ties: least start, then least period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = with_restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    rows = scored(docs, model)
+    return rows.select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "top_passage", "top_weight"
+    )
+
+
 QUERIES = {
     "op1_bayesian_language_id": op1_bayesian_language_id,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -124,4 +179,7 @@ QUERIES = {
     "op8_first_fit_packing": op8_first_fit_packing,
     "op9_tokeniser_fertility_rules": op9_tokeniser_fertility_rules,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_attention_quality": op13_attention_quality,
 }
