@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm.components import components
 from codecorpus.llm.decontaminate import contamination, without_contaminated
-from codecorpus.llm.line_dedup import alike, edit_distance, normalised, simhashes, without_duplicate_lines
+from codecorpus.llm.line_dedup import edit_distance, normalised, without_duplicate_lines
+from codecorpus.llm.line_blocks import Spread, as_table, keys_of, sketches, sketches_allow
 from codecorpus.llm.ngram_join import bands_for, keep_one, ngram_join
 
 
@@ -96,26 +97,17 @@ def test_edit_distance_is_exact_up_to_the_limit():
         assert (edit_distance(a, b, most) == true) if true <= most else edit_distance(a, b, most) > most
 
 
-def lines_left(rows: list[tuple], distance: int = 3, similarity: float = 0.9) -> Counter:
-    """Texts after fuzzy dedup by comparing every two distinct lines."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    words = {}
-    for i in order:
-        for line in (rows[i][1] or "").split("\n"):
-            if normalised(line):
-                words[" ".join(normalised(line))] = normalised(line)
-    names, groups = list(words), brute.Groups()
-    long_ones = [x for x in names if len(words[x]) >= 8]
-    sims = simhashes([words[x] for x in long_ones]) if long_ones else []
-    for i, a in enumerate(long_ones):
-        for j in np.flatnonzero(np.bitwise_count(sims[i] ^ sims[:i]) <= distance):
-            if alike(a, long_ones[j], similarity):
-                groups.join(a, long_ones[j])
-    return order, words, groups
+def lines_left(rows: list[tuple], similarity: float = 0.9) -> tuple:
+    """Distinct lines of all texts, and their groups by edit similarity of every two."""
+    names = sorted({" ".join(normalised(line)) for r in rows for line in (r[1] or "").split("\n") if normalised(line)})
+    groups = brute.Groups()
+    for i, j in brute.alike_pairs(names, similarity):
+        groups.join(names[i], names[j])
+    return names, groups
 
 
 def test_fuzzy_lines_by_comparing_all(docs, rows):
-    _, words, groups = lines_left(rows)
+    words, groups = lines_left(rows)
     cleaned = without_duplicate_lines(docs)
     assert set(docs.columns) < set(cleaned.columns)
     left = cleaned.collect()
@@ -146,6 +138,106 @@ def test_lines_that_differ_in_their_numbers_are_no_copies(spark):
     assert {r.doc_id: r.text for r in left} == dict(enumerate(numbers))
 
 
+def keys_by_line(lines: list[str]) -> list[set[int]]:
+    spread = Spread(lines)
+    assert spread.size.tolist() == list(map(len, lines))
+    found: list[set[int]] = [set() for _ in lines]
+    for i, key in zip(*(x.tolist() for x in keys_of(spread, np.arange(len(lines)), 0.9)), strict=True):
+        found[i].add(key)
+    return found
+
+
+def edited(r: random.Random, line: str, most: int) -> str:
+    """Up to ``most`` characters replaced, put in or taken out; no blanks side by side or at an end."""
+    letters = list(line)
+    for _ in range(most):
+        at = r.randrange(1, len(letters) - 1)
+        if " " not in letters[at - 1 : at + 2]:
+            letters[at : at + r.choice([1, 1, 0, 2])] = r.choice(["q", "é", ""])
+    return "".join(letters)
+
+
+def test_short_lines_always_meet():
+    r = random.Random(21)
+    pool = brute.prose(33, 4000).split()
+    checked = 0
+    for _ in range(1500):
+        line = " ".join(r.choice(pool) for _ in range(r.randint(2, 14)))[: r.randint(10, 79)].strip()
+        other = edited(r, line, int(0.1 * len(line) + 1e-9))
+        longest = max(len(line), len(other))
+        if longest >= 80 or line == other or brute.levenshtein(line, other) > 0.1 * longest + 1e-9 or " ".join(normalised(other)) != other:
+            continue
+        checked += 1
+        one, two = keys_by_line([line, other])
+        assert one & two, (line, other)
+        table = as_table({**sketches([line, other]), "size": np.array([len(line), len(other)])})
+        assert sketches_allow(0.9)(table, np.array([0]), np.array([1])).all()
+    assert checked > 700
+
+
+@pytest.mark.parametrize(("low", "high"), [(80, 160), (160, 320), (320, 640), (640, 2500)])
+def test_most_long_lines_meet(low, high):
+    """A tenth of the words, or a twentieth of the characters, changed at random places; 0.9 must meet and be allowed."""
+    r = random.Random(low)
+    lines = []
+    while len(lines) < 200:
+        line = brute.prose(r.randrange(10**6), high // 6, 400).replace("\n", " ")[: r.randrange(low + high // 10, high)].strip()
+        lines.append(line)
+    words, typos = [], []
+    for line in lines:
+        parts, letters = line.split(" "), list(line)
+        for at in r.sample(range(len(parts)), max(1, len(parts) // 10)):
+            parts[at] = "".join(r.choice("etaoin") for _ in parts[at])
+        for at in r.sample(range(len(letters)), len(letters) // 20):
+            letters[at] = r.choice("etaoin") if letters[at] != " " else " "
+        words.append(" ".join(parts))
+        typos.append("".join(letters))
+    own = keys_by_line(lines)
+    for changed in (words, typos):
+        table = as_table({**sketches(lines + changed), "size": np.array(list(map(len, lines + changed)))})
+        allowed = sketches_allow(0.9)(table, np.arange(200), 200 + np.arange(200))
+        assert np.mean([bool(a & b) and ok for a, b, ok in zip(own, keys_by_line(changed), allowed, strict=True)]) >= 0.9
+
+
+def test_recall_in_the_given_documents(spark):
+    """All pairs of the distinct lines of the table, by edit similarity alone; per length at least 0.9 meet and are allowed."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lines = sorted({" ".join(normalised(x)) for t in texts if t for x in t.split("\n") if normalised(x)})
+    keys = keys_by_line(lines)
+    table = as_table({**sketches(lines), "size": np.array(list(map(len, lines)))})
+    met: dict[int, list[bool]] = {}
+    for i, j in brute.alike_pairs(lines):
+        allowed = sketches_allow(0.9)(table, np.array([i]), np.array([j]))[0]
+        met.setdefault(max(len(lines[i]), len(lines[j])) // 160, []).append(bool(keys[i] & keys[j]) and bool(allowed))
+    assert sum(map(len, met.values())) > 250
+    assert {length: np.mean(found) for length, found in met.items() if np.mean(found) < 0.9} == {}
+
+
+def test_a_common_block_is_dealt_into_tiles(spark, monkeypatch):
+    import codecorpus.llm.line_blocks as module
+
+    start = "the same words begin each of these lines of text and go on for a while until at last "
+    lines = [start + " ".join(f"{w}{i % 40}" for w in ("one", "two", "three")) for i in range(120)] + [f"a short line {i} here" for i in range(30)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    whole = sorted(map(tuple, without_duplicate_lines(rows).collect()))
+    monkeypatch.setattr(module, "BUCKET", 5)
+    assert sorted(map(tuple, without_duplicate_lines(rows).collect())) == whole
+    assert sum(r[2] for r in whole) < len(lines) - 80
+
+
+def test_a_row_many_times_over(spark):
+    rows = spark.range(2000).selectExpr("7L as doc_id", "'one line of text\nanother' as text", "id as numbers")
+    left = without_duplicate_lines(rows).collect()
+    assert sorted(r.numbers for r in left) == list(range(2000))
+    assert Counter(r.text for r in left) == {"": 1999, "one line of text\nanother": 1}
+    assert Counter((r.n_kept, r.n_dropped) for r in left) == {(0, 2): 1999, (2, 0): 1}
+
+
+def test_an_unknown_search_is_refused(no_docs):
+    with pytest.raises(ValueError, match="search"):
+        without_duplicate_lines(no_docs, search="none")
+
+
 def test_lines_of_every_length_by_edit_similarity_of_all_pairs(spark):
     r = random.Random(12)
     texts = []
