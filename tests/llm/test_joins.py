@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm.components import components
 from codecorpus.llm.decontaminate import contamination, without_contaminated
-from codecorpus.llm.line_dedup import edit_distance, normalised, without_duplicate_lines
-from codecorpus.llm.line_blocks import Spread, as_table, keys_of, sketches, sketches_allow
+from codecorpus.llm.line_dedup import alike, edit_distance, normalised, without_duplicate_lines
+from codecorpus.llm.line_blocks import EXACT, Spread, as_table, keys_of, sketches, sketches_allow
 from codecorpus.llm.ngram_join import bands_for, keep_one, ngram_join
 
 
@@ -162,10 +162,10 @@ def test_short_lines_always_meet():
     pool = brute.prose(33, 4000).split()
     checked = 0
     for _ in range(1500):
-        line = " ".join(r.choice(pool) for _ in range(r.randint(2, 14)))[: r.randint(10, 79)].strip()
+        line = " ".join(r.choice(pool) for _ in range(r.randint(2, 8)))[: r.randint(10, 39)].strip()
         other = edited(r, line, int(0.1 * len(line) + 1e-9))
         longest = max(len(line), len(other))
-        if longest >= 80 or line == other or brute.levenshtein(line, other) > 0.1 * longest + 1e-9 or " ".join(normalised(other)) != other:
+        if longest >= EXACT or line == other or brute.levenshtein(line, other) > 0.1 * longest + 1e-9 or " ".join(normalised(other)) != other:
             continue
         checked += 1
         one, two = keys_by_line([line, other])
@@ -175,7 +175,7 @@ def test_short_lines_always_meet():
     assert checked > 700
 
 
-@pytest.mark.parametrize(("low", "high"), [(80, 160), (160, 320), (320, 640), (640, 2500)])
+@pytest.mark.parametrize(("low", "high"), [(40, 80), (80, 160), (160, 320), (320, 640), (640, 2500)])
 def test_most_long_lines_meet(low, high):
     """A tenth of the words, or a twentieth of the characters, changed at random places; 0.9 must meet and be allowed."""
     r = random.Random(low)
@@ -196,7 +196,8 @@ def test_most_long_lines_meet(low, high):
     for changed in (words, typos):
         table = as_table({**sketches(lines + changed), "size": np.array(list(map(len, lines + changed)))})
         allowed = sketches_allow(0.9)(table, np.arange(200), 200 + np.arange(200))
-        assert np.mean([bool(a & b) and ok for a, b, ok in zip(own, keys_by_line(changed), allowed, strict=True)]) >= 0.9
+        found = [bool(a & b) and ok for a, b, ok, x, y in zip(own, keys_by_line(changed), allowed, lines, changed, strict=True) if alike(x, y, 0.9)]
+        assert len(found) > 50 and np.mean(found) >= 0.9
 
 
 def test_recall_in_the_given_documents(spark):
