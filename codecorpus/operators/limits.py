@@ -59,24 +59,58 @@ def _admit(rows: Column, room: Column, count: Column, max_files: int) -> Column:
     return F.aggregate(rows, start, step)
 
 
+def _first_files(left: DataFrame, max_files: int) -> DataFrame:
+    """Files of each repository before the first that doesn't fit, with room, count, last path and whether any is left.
+
+    ``left`` holds repo, path, size, room and count, in no order. Sizes are summed up within
+    tasks of a sort over all; what a repository has in earlier tasks is added from a table with
+    one row per task and repository. Sums only grow, so what fits is a prefix of the path order.
+    """
+    placed = cut(left.orderBy("repo", "path").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("repo", "_part").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy("repo", "_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("repo").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        "repo", "_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_bytes", "_rows")]
+    )
+    running = placed.withColumns({"_bytes": F.sum("size").over(inside), "_rows": F.count("*").over(inside)})
+    upto = running.join(before, ["repo", "_part"]).withColumns(
+        {"_bytes": F.col("_bytes") + F.col("_bytes_before"), "_rows": F.col("_rows") + F.col("_rows_before")}
+    )
+    fits = (F.col("_bytes") <= F.col("room")) & (F.col("count") + F.col("_rows") <= max_files)
+    return cut(upto.select("repo", "path", "size", "room", "count", "_bytes", "_rows", fits.alias("fits")))
+
+
 def admit_within_budget(
     files: DataFrame, max_total: int = fixed.MAX_SCAN_BYTES, max_files: int = fixed.MAX_SCAN_FILES
 ) -> DataFrame:
     """Per repository, in path order, take every file that still fits the byte budget, up to a number.
 
-    A file that does not fit is skipped and the walk goes on.  Room only
-    shrinks, so a file larger than the present room never fits again; the next
-    ``HEAD`` files that fit the present room therefore decide the walk up
-    to the last of them.  Each round walks those, then drops what has become too
-    large.  Every round admits at least one file of each repository still open,
-    usually all it can, so rounds are few; no round brings more than ``HEAD`` rows
-    of a repository together, and Spark limits each task to as many before the shuffle.
+    A file that does not fit is skipped and the walk goes on.  Room only shrinks, so a file
+    larger than the present room never fits again and is dropped at once.  Each round first
+    takes all files before the first misfit, however many, by sums over all tasks; then it
+    walks the next ``HEAD`` files that fit the present room, which decide the walk up
+    to the last of them.  Rounds follow the misfits and not the number of files; no task ever
+    gets more than ``HEAD`` rows of a repository together.
     """
     slim = cut(files.select("repo", "path", F.col("size").cast("long").alias("size")))
-    left = slim.withColumns({"room": F.lit(max_total).cast("long"), "count": F.lit(0)})
+    left = slim.withColumns({"room": F.lit(max_total).cast("long"), "count": F.lit(0).cast("long")})
     admitted = None
+
+    def take(kept: DataFrame) -> None:
+        nonlocal admitted
+        admitted = kept if admitted is None else admitted.unionByName(kept)
+
     while True:
-        left = left.filter(F.col("size") <= F.col("room"))
+        first = _first_files(left.filter(F.col("size") <= F.col("room")), max_files)
+        take(first.filter("fits").select("repo", "path"))
+        state = first.groupBy("repo").agg(
+            (F.first("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("_bytes"))), F.lit(0))).alias("room"),
+            (F.first("count") + F.coalesce(F.max(F.when(F.col("fits"), F.col("_rows"))), F.lit(0))).alias("count"),
+        )
+        state = state.filter(F.col("count") < max_files)
+        rest = first.filter(~F.col("fits")).select("repo", "path", "size").join(state, "repo")
+        left = cut(rest.filter(F.col("size") <= F.col("room")))
         order = Window.partitionBy("repo").orderBy("path")
         head = (
             left.withColumn("_rank", F.row_number().over(order))
@@ -93,15 +127,14 @@ def admit_within_budget(
                 "repo",
                 F.col("end")["kept"].alias("kept"),
                 F.col("end")["room"].alias("room"),
-                F.col("end")["count"].alias("count"),
+                F.col("end")["count"].cast("long").alias("count"),
                 F.when(
                     (F.size("rows") == HEAD) & (F.col("end")["count"] < max_files),
                     F.element_at("rows", -1)["path"],
                 ).alias("after"),
             )
         )
-        kept = walked.select("repo", F.explode("kept").alias("path"))
-        admitted = kept if admitted is None else admitted.unionByName(kept)
+        take(walked.select("repo", F.explode("kept").alias("path")))
         still_open = walked.filter(F.col("after").isNotNull()).select("repo", "room", "count", "after")
         if still_open.isEmpty():
             break
@@ -109,6 +142,7 @@ def admit_within_budget(
             left.select("repo", "path", "size")
             .join(still_open, "repo")
             .filter((F.col("path") > F.col("after")) & (F.col("size") <= F.col("room")))
+            .drop("after")
         )
     return files.join(admitted, FILE, "left_semi")
 

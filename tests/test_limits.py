@@ -39,6 +39,19 @@ def test_budget_is_the_greedy_walk(spark, shape):
         assert {(r.repo, r.path) for r in found} == walk(rows, budget, most)
 
 
+@pytest.mark.parametrize("share", [0.7, 2.0])
+def test_a_large_budget_takes_few_rounds(spark, monkeypatch, share):
+    """Rounds follow the files that don't fit, not the number of files."""
+    rounds, plain = [], limits._first_files
+    monkeypatch.setattr(limits, "_first_files", lambda *a: rounds.append(1) or plain(*a))
+    rng = random.Random(5)
+    rows = [("big", f"f{i:06}", rng.randint(0, 4000)) for i in range(60_000)] + [("small", f"f{i}", 100) for i in range(30)]
+    budget = int(share * sum(size for _, _, size in rows))
+    found = limits.admit_within_budget(frame(spark, rows), budget, 1_000_000).collect()
+    assert {(r.repo, r.path) for r in found} == walk(rows, budget, 1_000_000)
+    assert len(rounds) <= 10
+
+
 def test_budget_of_no_files(spark):
     assert limits.admit_within_budget(frame(spark, [("r", "a", 5)]).filter("false"), 10, 3).count() == 0
     assert limits.admit_within_budget(frame(spark, [("r", "a", 50)]), 10, 3).count() == 0
