@@ -123,9 +123,12 @@ CTE["imports"] = " union all ".join(
  from (select *, l_partkey % 50 as m from blocks) where suffix = '{suffix}'"""
     for suffix, kind, imported, module, more in _IMPORTS
 )
-CTE["calls"] = """
- select repo, path, 'g_' || l_suppkey as name, 'g_' || l_suppkey || '(' as text from blocks
- where suffix in ('.py', '.js', '.java', '.cpp')"""
+# Where a piece of a block stands in the file: offset, and line counted from 1.
+_SITE = """cast(pos + strpos(block, {piece}) - 1 as integer) as start_char,
+ cast(line + 1 + len(string_split(left(block, strpos(block, {piece}) - 1), chr(10))) - 1 as integer) as line_no"""
+CTE["calls"] = f"""
+ select repo, path, 'g_' || l_suppkey as name, 'g_' || l_suppkey || '(' as text, {_SITE.format(piece="'g_' || l_suppkey")}
+ from blocks where suffix in ('.py', '.js', '.java', '.cpp')"""
 CTE["earlier"] = """
  select path, start_char, end_char, code as text from definitions
  union all
@@ -478,14 +481,14 @@ oracle("segment_code", "segments", body=f"select {_SEGMENT} from segments")
 oracle("extract_imports", "imports", body="select repo, path, kind, text, module, start_char from imports")
 oracle("extract_modules", "imports", body="select distinct repo, path, module from imports")
 oracle("modules_of_imports", "imports", body="select distinct repo, path, module from imports")
-oracle("extract_calls", "calls", body="select repo, path, name, text from calls")
-oracle("extract_calls_with_keywords", "calls", body="""
- select repo, path, name, text from calls
+oracle("extract_calls", "calls", body="select * from calls")
+oracle("extract_calls_with_keywords", "calls", body=f"""
+ select * from calls
  union all
- select repo, path, 'f_' || l_partkey || '_' || l_linenumber as name, name || '(' as text
+ select repo, path, 'f_' || l_partkey || '_' || l_linenumber as name, name || '(' as text, {_SITE.format(piece="'f_' || l_partkey")}
  from blocks where suffix in ('.py', '.js', '.java', '.cpp')
  union all
- select repo, path, 'if', 'if (' from blocks where suffix = '.js' """)
+ select repo, path, 'if', 'if (', {_SITE.format(piece="'if ('")} from blocks where suffix = '.js' """)
 oracle("extract_variables", "blocks", body="""
  select repo, path, case u when 2 then 'g_' || l_suppkey else 'x' end as name,
         cast(line + case u when 1 then 4 when 2 then 5 when 3 then 5 else 6 end as integer) as line_no

@@ -36,19 +36,22 @@ def running_sum(values: Column, element_type: str = "int", least: int | None = N
         total = F.coalesce(F.get(acc, F.size(acc) - 1), before) + v
         return F.concat(acc, F.array(total if least is None else F.greatest(total, F.lit(least).cast(element_type))))
 
-    def add_block(done: Column, start: Column) -> Column:
-        before = F.coalesce(F.get(done, F.size(done) - 1), zero)
-        block = F.aggregate(
-            F.slice(values, start, F.lit(RUNNING_SUM_BLOCK)), none, lambda acc, v: append(acc, before, v)
+    def of(bound: Column) -> Column:
+        def add_block(done: Column, start: Column) -> Column:
+            before = F.coalesce(F.get(done, F.size(done) - 1), zero)
+            block = F.aggregate(
+                F.slice(bound, start, F.lit(RUNNING_SUM_BLOCK)), none, lambda acc, v: append(acc, before, v)
+            )
+            return F.concat(done, block)
+
+        starts = F.sequence(F.lit(1), F.size(bound), F.lit(RUNNING_SUM_BLOCK))
+        return (
+            F.when(F.size(bound) == 0, none)
+            .when(F.size(bound) <= RUNNING_SUM_BLOCK, F.aggregate(bound, none, lambda acc, v: append(acc, zero, v)))
+            .otherwise(F.aggregate(starts, none, add_block))
         )
-        return F.concat(done, block)
 
-    starts = F.sequence(F.lit(1), F.size(values), F.lit(RUNNING_SUM_BLOCK))
-    return (
-        F.when(F.size(values) == 0, none)
-        .when(F.size(values) <= RUNNING_SUM_BLOCK, F.aggregate(values, none, lambda acc, v: append(acc, zero, v)))
-        .otherwise(F.aggregate(starts, none, add_block))
-    )
+    return let(values, of)
 
 
 def later_minimum(values: Column) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
 from codecorpus.functions.arrays import empty_array, let
-from codecorpus.functions.lexical import AFTER, AFTER_BREAK, AFTER_JOINED, matches, replace_matches
-from codecorpus.functions.segments import CONTROL_WORDS, PARAMETERS
+from codecorpus.functions.lexical import AFTER, AFTER_BREAK, AFTER_JOINED, CLOSING, OPENING, matches, paired, replace_matches
+from codecorpus.functions.segments import CONTROL_WORDS
 from codecorpus.functions.text import WORD, code_pattern, dialect, word_class
 
 IMPORT_TYPE = "struct<kind:string,text:string,module:string,start_char:int,end_char:int>"
-CALL_TYPE = "struct<name:string,text:string>"
+CALL_TYPE = "struct<name:string,text:string,start_char:int,line_no:int>"
 USE_TYPE = "struct<name:string,line_no:int>"
 
 DOTTED, MEMBER, WITH_DOLLAR = word_class("."), word_class("$."), word_class("$")
@@ -139,16 +139,25 @@ PYTHON_CALL = code_pattern(
     rf"(?={WORD})(?<!{WORD})(?<!{WORD}\.)(?={DOTTED}++\s*+\()(?!(?:{PYTHON_WORDS})\b)(?<![{AFTER}{AFTER_BREAK}{AFTER_JOINED}])"
     rf"({DOTTED}++)\s*+\("
 )
-# Not calls: a name whose parameters are followed by a body, and a name right after a type.
-WORDS_BEFORE_CALL = "return|throw|else|case|await|yield|typeof|void|delete|in|of|do|co_return|co_await|instanceof"
+# Not calls: a name whose parameters are followed by a body, a name right after a type, and the
+# type before a pointer to a function.
+WORDS_BEFORE_CALL = "return|throw|else|case|await|yield|typeof|void|delete|in|of|do|co_return|co_await|instanceof|assert|extends"
 BODY_FOLLOWS = (
-    rf"{PARAMETERS}\s*+(?:const|override|noexcept|throws\s++[\w.,\s]++)?\s*+(?::(?!:)[^{{}};]*+)?\{{"
+    rf"{paired('a')}\s*+(?:const|override|noexcept|throws\s++[\w.,\s]++)?\s*+(?::(?!:)[^{{}};]*+)?\{{"
 )
+POINTER_FOLLOWS = rf"{OPENING}\s*+[*&]++\s*+{WITH_DOLLAR}*+\s*+{CLOSING}\s*+\("
 # Blanks after ``new`` and the like, or after a type, are set off, so the character before a name tells.
-BRACED_CALL = code_pattern(
-    rf"(?={WITH_DOLLAR})(?<!{WITH_DOLLAR})(?<!{WITH_DOLLAR}\.)(?={MEMBER}++\s*+\()(?!(?:{CONTROL_WORDS})\b(?!\.))"
-    rf"(?<![{AFTER}{AFTER_BREAK}{AFTER_JOINED}])({MEMBER}++)\s*+(?!{BODY_FOLLOWS})\("
-)
+def _braced_call(not_words: str, not_before: str, unless: str = "") -> str:
+    return code_pattern(
+        rf"(?={WITH_DOLLAR})(?<!{not_before})(?<!{WITH_DOLLAR}\.)(?=({MEMBER}++)\s*+\()(?!(?:{not_words})\b(?!\.))"
+        rf"(?<![{AFTER}{AFTER_BREAK}{AFTER_JOINED}])(?:{unless}(?!{MEMBER}++\s*+{BODY_FOLLOWS})){MEMBER}++\s*+(?!{POINTER_FOLLOWS})\("
+    )
+
+
+BRACED_CALL = _braced_call(CONTROL_WORDS, WITH_DOLLAR)
+# An annotation of Java is no call; a class may extend what a call gives; ``super(...)`` is one in JavaScript, and in Java a statement of its own.
+JAVA_CALL = _braced_call(CONTROL_WORDS, word_class("$@"))
+SCRIPT_CALL = _braced_call("|".join(w for w in CONTROL_WORDS.split("|") if w != "super"), WITH_DOLLAR, r"(?<=\bextends\s)|")
 DEFINING_BLANK = r"\b(?:new|function)"
 TYPE_BLANK = rf"[\w\]](?<!\b(?:{WORDS_BEFORE_CALL}))"
 # The same without blanks before a parenthesis, which belong to the call itself.
@@ -156,30 +165,36 @@ BLANKS_BEFORE_NAME, BLANKS_IN_LINE = r"\s(?!\s*+\()", r"[ \t](?![ \t]*+\()"
 
 
 def calls(content: Column, hidden: Column, language: Column, exclude_keywords: bool = True) -> Column:
-    """Names directly followed by an opening parenthesis; ``hidden`` is the masked text.
+    """``array<struct<name, text, start_char, line_no>>``: names directly followed by an opening parenthesis.
 
-    By default strings and comments, keywords, constructions with ``new`` and
-    the heads of definitions do not count.  Without that, every match in the raw
+    ``hidden`` is the masked text; lines are counted from 1. By default strings and comments,
+    keywords, constructions with ``new``, annotations of Java and the heads of definitions do
+    not count, whatever their parameters.  Without that, every match in the raw
     text does, as a plain pattern search would have it.
     """
     key = F.lower(language)
 
-    def found(source: Column, pattern: str) -> Column:
-        names = F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
-        texts = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-        return F.zip_with(names, texts, lambda n, t: F.struct(n.alias("name"), t.alias("text")))
+    def call(m: Column) -> Column:
+        start, line = m["start"].cast("int").alias("start_char"), (m["line"] + 1).cast("int").alias("line_no")
+        return F.struct(m["name"].alias("name"), m["text"].alias("text"), start, line)
+
+    def braced(text: Column) -> Column:
+        found = F.when(key == "javascript", lexical.set_off(text, SCRIPT_CALL, 1)).when(key == "java", lexical.set_off(text, JAVA_CALL, 1))
+        return lexical.without_depths(found.otherwise(lexical.set_off(text, BRACED_CALL, 1)))
 
     if exclude_keywords:
-        python = lexical.mark_blanks(hidden, r"\b(?:def|class)")
-        braced = lexical.mark_blanks(lexical.mark_blanks(hidden, DEFINING_BLANK, BLANKS_BEFORE_NAME), TYPE_BLANK, BLANKS_IN_LINE)
-        chain = F.when(key == "python", found(python, PYTHON_CALL)).when(
-            key.isin("javascript", "java", "c++", "cpp"), found(braced, BRACED_CALL)
+        blanks = lexical.mark_blanks(lexical.mark_blanks(hidden, DEFINING_BLANK, BLANKS_BEFORE_NAME), TYPE_BLANK, BLANKS_IN_LINE)
+        python = lexical.set_off(lexical.mark_blanks(hidden, r"\b(?:def|class)"), PYTHON_CALL, 1)
+        chain = F.when(key == "python", python).when(
+            key.isin("javascript", "java", "c++", "cpp"), let(lexical.with_depths(blanks), braced)
         )
+        shown = lexical.unmark_blanks(chain)
     else:
-        chain = F.when(key == "javascript", found(content, dialect(fixed.SCRIPT_CALL))).when(
-            key.isin("python", "java", "c++", "cpp"), found(content, dialect(CALL_ANYWHERE))
+        raw = lexical.exchange(content, lexical.MARK, lexical.NOT_MARK)
+        shown = F.when(key == "javascript", lexical.set_off(raw, dialect(fixed.SCRIPT_CALL), 1)).when(
+            key.isin("python", "java", "c++", "cpp"), lexical.set_off(raw, dialect(CALL_ANYWHERE), 1)
         )
-    return chain.otherwise(empty_array(CALL_TYPE))
+    return let(shown, lambda x: F.when(x.isNull(), empty_array(CALL_TYPE)).otherwise(F.transform(lexical.matches_set_off(x, ("name",)), call)))
 
 
 # --- identifier uses --------------------------------------------------------
@@ -193,7 +208,7 @@ KEYWORD_ARGUMENT = code_pattern(rf"(?<=[(,{AFTER}{AFTER_JOINED}]){WORD}++(?=[^\S
 ANY_IMPORT = code_pattern(rf"(?=[fi])(?<!{DOTTED})(?:from[^\S\n]++\.*+{DOTTED}*+[^\S\n]++)?import\b[^\n;]*+")
 CLASS_NAME = code_pattern(rf"^([ \t]*+class[ \t]++){WORD}++", multiline=True)
 FUNCTION_HEAD = code_pattern(
-    rf"^[ \t]*+(?:async[ \t]++)?def[ \t]++{WORD}++\s*+" + PARAMETERS, multiline=True
+    rf"^[ \t]*+(?:async[ \t]++)?def[ \t]++{WORD}++\s*+" + paired("a"), multiline=True
 )
 # In the head of a function only defaults and annotations are uses.
 NAME_BEING_DEFINED = code_pattern(rf"(?<!{DOTTED})(?<![=:>{AFTER}{AFTER_BREAK}{AFTER_JOINED}])(?!\d){WORD}++")
@@ -207,7 +222,7 @@ def python_uses(hidden: Column) -> Column:
     def head(m: Column) -> Column:
         return lexical.unmark_blanks(F.regexp_replace(lexical.mark_blanks(m, "[=:>]"), NAME_BEING_DEFINED, ""))
 
-    uses_only = replace_matches(imports_gone, FUNCTION_HEAD, head)
+    uses_only = lexical.without_depths(replace_matches(lexical.with_depths(imports_gone), FUNCTION_HEAD, head))
     arguments = F.regexp_replace(lexical.mark_blanks(uses_only, "[(,]", r"[^\S\n]"), KEYWORD_ARGUMENT, "")
     values_only = lexical.unmark_blanks(arguments)
     lines = F.split(F.regexp_replace(values_only, CLASS_NAME, "$1"), f"[\n{lexical.JOINED}]", -1)

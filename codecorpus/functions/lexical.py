@@ -26,10 +26,11 @@ _TRIPLE_DOUBLE = r'"""(?:[^"\\]++|\\.|"(?!""))*+(?:"""|\z)'
 _TRIPLE_SINGLE = r"'''(?:[^'\\]++|\\.|'(?!''))*+(?:'''|\z)"
 _TEMPLATE = r"`(?:[^`\\]++|\\.)*+(?:`|\z)"
 _SLASH_COMMENT = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
-# A slash after an operator or ``return`` opens a regular expression.
+# A slash after an operator or ``return`` opens a regular expression; the token begins with what stands before.
 _REGEX_LITERAL = (
-    r"/(?![*/])(?<=[(,=:\[!&|?{};]\s{0,8}/|\breturn\s{1,8}/)(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
+    r"(?:[(,=:\[!&|?{};]|\breturn\b)\s*+/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
 )
+BEFORE_REGEX = r"\A(?:return|[(,=:\[!&|?{};])\s*+"
 _DIRECTIVE = r"#(?:[^\n\\]++|\\.)*+"
 _RAW_CPP = r'R"([^()\\\s]{0,16})\((?:(?!\)\1").)*+\)\1"'
 
@@ -41,12 +42,16 @@ def _tokens(first: str, *kinds: str) -> str:
 
 TOKENS = {
     "python": _tokens("\"'#", _TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE, r"#[^\n]*+"),
-    "javascript": _tokens("\"'`/", _SLASH_COMMENT, _DOUBLE, _SINGLE, _TEMPLATE, _REGEX_LITERAL),
+    "javascript": _tokens("\"'`/(,=:\\[!&|?{};r", _SLASH_COMMENT, _DOUBLE, _SINGLE, _TEMPLATE, _REGEX_LITERAL),
     "java": _tokens("\"'/", _SLASH_COMMENT, _TRIPLE_DOUBLE, _DOUBLE, _SINGLE),
     "c++": _tokens("\"'/R#", _SLASH_COMMENT, _RAW_CPP, _DOUBLE, _SINGLE, _DIRECTIVE),
 }
 
 BRACKET = r"[()\[\]{}]"
+# Behind a parenthesis stands its depth, between these marks, while heads of definitions are looked for.
+DEPTH_BEGINS, DEPTH_ENDS = "\3", "\4"
+DEPTH = f"{DEPTH_BEGINS}\\d++{DEPTH_ENDS}"
+OPENING, CLOSING = rf"\({DEPTH}", rf"\){DEPTH}"
 # Blanks that follow something of interest become these, line ends among them the last two.
 AFTER, AFTER_BREAK, AFTER_JOINED = "\2", "\5", "\6"
 
@@ -73,10 +78,16 @@ def mask(text: Column, language: str) -> Column:
     runs of double quotes whose inner line breaks are ``JOINED``.
     """
 
+    def quoted(literal: Column) -> Column:
+        return F.translate(F.regexp_replace(literal, r"[^\n]", '"'), "\n", JOINED)
+
     def cover(token: Column) -> Column:
         blank = F.regexp_replace(token, r"[^\n]", " ")
-        quoted = F.translate(F.regexp_replace(token, r"[^\n]", '"'), "\n", JOINED)
-        return F.when(is_comment(token, language), blank).otherwise(quoted)
+        covered = F.when(is_comment(token, language), blank)
+        if language == "javascript":
+            before = F.regexp_extract(token, BEFORE_REGEX, 0)
+            covered = covered.when(before != "", F.concat(before, quoted(F.substr(token, F.length(before) + 1))))
+        return covered.otherwise(quoted(token))
 
     return replace_matches(exchange(text, JOINED + MARK, "  "), TOKENS[language], cover)
 
@@ -109,6 +120,40 @@ def logical_lines(text: Column) -> Column:
     return F.regexp_replace(let(marked(text, BRACKET, 0), of), r"\\\n", " " + JOINED)
 
 
+def with_depths(text: Column) -> Column:
+    """The text with a depth behind each parenthesis, the same for both of a pair.
+
+    ``paired`` matches such a pair whatever its content; ``without_depths`` gives the text back.
+    """
+
+    def tagged(parts: Column, depths: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            at = F.floor(i / 2).cast("int")
+            depth = F.when(x == "(", F.get(depths, at)).otherwise(F.coalesce(F.get(depths, at - 1), F.lit(0)))
+            return F.when(i % 2 == 1, F.concat(x, F.lit(DEPTH_BEGINS), depth.cast("string"), F.lit(DEPTH_ENDS))).otherwise(x)
+
+        return F.array_join(F.transform(parts, part), "")
+
+    def nested(parts: Column) -> Column:
+        signs = F.filter(parts, lambda x, i: i % 2 == 1)
+        changes = F.transform(signs, lambda x: F.when(x == "(", F.lit(1)).otherwise(F.lit(-1)))
+        return let(running_sum(changes, least=0), lambda depths: tagged(parts, depths))
+
+    plain = exchange(text, DEPTH_BEGINS + DEPTH_ENDS, "  ")
+    flat = F.regexp_replace(plain, r"[()]", f"$0{DEPTH_BEGINS}1{DEPTH_ENDS}")
+    return F.when(text.rlike(r"\([^()]*+\("), let(marked(plain, r"[()]", 0), nested)).otherwise(flat)
+
+
+def without_depths(text: Column) -> Column:
+    return F.regexp_replace(text, DEPTH, "")
+
+
+def paired(group: str) -> str:
+    """Pattern for a parenthesis up to its pair; ``group`` is a name not used elsewhere in the pattern."""
+    inside = rf"(?:[^)]++|\)(?!{DEPTH_BEGINS}\k<{group}>{DEPTH_ENDS}))*+"
+    return rf"\({DEPTH_BEGINS}(?<{group}>\d++){DEPTH_ENDS}{inside}{CLOSING}"
+
+
 def mark_blanks(text: Column, before: str, blanks: str = r"\s") -> Column:
     """Set off the blanks, any number of them, that stand right behind a match of ``before``.
 
@@ -140,8 +185,20 @@ def exchange(text: Column, characters: str, by: str) -> Column:
 
 def marked(text: Column, pattern: str, groups: int) -> Column:
     """One pass over the text: ``[between, match, group 1, ..., between, match, ...]``."""
-    replacement = MARK + "".join(f"${i}{MARK}" for i in range(groups + 1))
-    return F.split(F.regexp_replace(text, pattern, replacement), MARK, -1)
+    return F.split(set_off(text, pattern, groups), MARK, -1)
+
+
+def marked_with_depths(text: Column, pattern: str, groups: tuple[str, ...]) -> Column:
+    """The same for a pattern that uses ``paired``; ``groups`` name the groups, each one or several like ``${a}${b}``."""
+    return F.split(without_depths(_set_off(with_depths(text), pattern, groups)), MARK, -1)
+
+
+def set_off(text: Column, pattern: str, groups: int) -> Column:
+    return _set_off(text, pattern, [f"${i}" for i in range(1, groups + 1)])
+
+
+def _set_off(text: Column, pattern: str, groups) -> Column:
+    return F.regexp_replace(text, pattern, MARK + "".join(f"{g}{MARK}" for g in ("$0", *groups)))
 
 
 def positions(parts: Column, groups: int) -> Column:
@@ -173,6 +230,11 @@ def matches(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
     ``start`` is a 0-based character offset, ``line`` the 0-based line it is
     on; an unmatched group is ''.  A NUL in the text shows as U+0001.
     """
+    return matches_set_off(set_off(exchange(text, MARK, NOT_MARK), pattern, len(groups)), groups)
+
+
+def matches_set_off(text: Column, groups: tuple[str, ...] = ()) -> Column:
+    """The same from a text in which ``set_off`` has marked them."""
     stride = len(groups) + 2
     names = ["text", *groups]
 
@@ -188,6 +250,6 @@ def matches(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
         return F.transform(p["at"], row)
 
     return let(
-        marked(exchange(text, MARK, NOT_MARK), pattern, len(groups)),
+        F.split(text, MARK, -1),
         lambda parts: let(F.struct(parts.alias("parts"), positions(parts, len(groups)).alias("at")), rows),
     )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
-from codecorpus.functions.arrays import running_sum
-from codecorpus.functions.lexical import JOINED, line_breaks, line_of, matches, offset_of
+from codecorpus.functions.arrays import empty_array, let, running_sum
+from codecorpus.functions.lexical import CLOSING, JOINED, OPENING, line_breaks, line_of, matches, offset_of, paired
 from codecorpus.functions.text import WORD, code_pattern, dialect, newline_count, strip, word_class
 
 # --- indentation ------------------------------------------------------------
@@ -62,9 +62,9 @@ def definition_parts(hidden: Column, language: Column) -> Column:
     key = F.lower(language)
     return (
         F.when(key == "python", lexical.marked(hidden, PYTHON_DEFINITION, GROUPS))
-        .when(key == "javascript", lexical.marked(hidden, JAVASCRIPT_TOKEN, GROUPS))
-        .when(key == "java", lexical.marked(hidden, JAVA_TOKEN, GROUPS))
-        .when(key.isin("c++", "cpp"), lexical.marked(hidden, CPP_TOKEN, GROUPS))
+        .when(key == "javascript", lexical.marked_with_depths(hidden, JAVASCRIPT_TOKEN, NAMES))
+        .when(key == "java", lexical.marked_with_depths(hidden, JAVA_TOKEN, JAVA_NAMES))
+        .when(key.isin("c++", "cpp"), lexical.marked_with_depths(hidden, CPP_TOKEN, NAMES))
     )
 
 
@@ -114,12 +114,6 @@ def python_assignments(hidden: Column) -> Column:
 # --- braces -----------------------------------------------------------------
 
 
-def _parentheses(depth: int) -> str:
-    inner = r"[^()]++" if depth == 1 else rf"(?:[^()]++|{_parentheses(depth - 1)})"
-    return rf"\({inner}*+\)" if depth > 1 else rf"\((?:{inner})?+\)"
-
-
-PARAMETERS = _parentheses(3)
 # A position where a name begins; the cheap test comes first.
 NAME_BEGINS = f"(?={word_class('$@~#')})(?<!{word_class('$.')})"
 NAME = word_class("$") + "++"
@@ -131,35 +125,37 @@ CONTROL_WORDS = (
 )
 _NO_CONTROL = rf"(?!(?:{CONTROL_WORDS})\b)"
 _JAVA_MODIFIERS = (
-    r"(?:(?:@(?!interface\b)[\w.]++(?:\s*+" + _parentheses(2) + r")?|public|private|protected|static|final|abstract"
+    r"(?:(?:@(?!interface\b)[\w.]++(?:\s*+" + paired("annotation") + r")?|public|private|protected|static|final|abstract"
     r"|synchronized|native|default|strictfp|sealed|non-sealed)(?!\w)\s*+)*+"
 )
 _TYPE = rf"{NAME}(?:(?:::|\.){NAME})*+(?:\s*+<[^;{{}}()=]*?>)?(?:\s*+\[\s*+\])*+"
 
 # Every token is a header with its opening brace, a single brace, or the
 # construction of an object, which must not be taken for a constructor.
-# Groups: function, class, method.
+# Groups: function or method, class, JavaScript's method or Java's constructor.
+NAMES = ("${function}", "${class}", "${method}")
 JAVASCRIPT_TOKEN = code_pattern(
-    rf"[{{}}]|{NAME_BEGINS}(?:(?:async\s++)?function\b\s*+({NAME})?\s*+{PARAMETERS}\s*+\{{"
-    rf"|class\s++({NAME})(?:\s++extends\s++[^{{;]++)?\s*+\{{"
-    rf"|(?:(?:static|async|get|set)\s++)*+(?=#?{NAME}\s*+\(){_NO_CONTROL}(#?{NAME})\s*+{PARAMETERS}\s*+\{{)"
+    rf"[{{}}]|{NAME_BEGINS}(?:(?:async\s++)?function\b\s*+(?:\*\s*+)?(?<function>{NAME})?\s*+{paired('a')}\s*+\{{"
+    rf"|class\s++(?<class>{NAME})(?:\s++extends\s++[^{{;]++)?\s*+\{{"
+    rf"|(?:(?:static|async|get|set)\s++)*+(?=#?{NAME}\s*+\(){_NO_CONTROL}(?<method>#?{NAME})\s*+{paired('b')}\s*+\{{)"
 )
-# Groups: method, class, constructor.
+# Other types with a body give no segment, but constructors; their keyword takes the last place.
+JAVA_NAMES = ("${function}", "${class}${type}", "${method}${keyword}")
 JAVA_TOKEN = code_pattern(
     rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|{_JAVA_MODIFIERS}(?:(?:<[^;{{}}()]*?>\s*+)?"
-    rf"(?={_TYPE}\s++{NAME}\s*+\(){_NO_CONTROL}{_TYPE}\s++{_NO_CONTROL}({NAME})\s*+"
-    rf"{PARAMETERS}(?:\s*+\[\s*+\])*+(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{"
-    rf"|class\s++({NAME})[^{{;()]*+\{{"
-    rf"|(?={NAME}\s*+\(){_NO_CONTROL}({NAME})\s*+{PARAMETERS}(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{))"
+    rf"(?={_TYPE}\s++{NAME}\s*+\(){_NO_CONTROL}{_TYPE}\s++{_NO_CONTROL}(?<function>{NAME})\s*+"
+    rf"{paired('a')}(?:\s*+\[\s*+\])*+(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{"
+    rf"|class\s++(?<class>{NAME})[^{{;()]*+\{{"
+    rf"|(?<keyword>enum|record|interface)\s++(?<type>{NAME})[^{{;()]*+(?:{paired('c')}[^{{;()]*+)?\{{"
+    rf"|(?={NAME}\s*+\(){_NO_CONTROL}(?<method>{NAME})\s*+{paired('b')}(?:\s*+throws\s++[\w.,\s]++)?\s*+\{{))"
 )
-# Groups: function, class, none.
 CPP_TOKEN = code_pattern(
     rf"[{{}}]|{NAME_BEGINS}(?:new\b\s*+{NAME}|enum\s++class\b"
     rf"|(?!class\b){_NO_CONTROL}(?:{_TYPE}(?:\s*+[*&]++\s*+|\s++))*?(?=[\w~:]++\s*+\(|operator\b){_NO_CONTROL}"
-    rf"((?:{NAME}::)*+(?:~?{NAME}|operator\s*+[^\s\w(]++))\s*+{PARAMETERS}"
+    rf"(?<function>(?:{NAME}::)*+(?:~?{NAME}|operator\s*+(?:{OPENING}\s*+{CLOSING}|[^\s\w(]++)))\s*+{paired('a')}"
     r"(?:\s*+(?:const|override|final|noexcept|volatile|&&?|->\s*+[\w:<>*& ]++))*+"
     r"(?:\s*+:(?!:)[^{};]*+)?\s*+\{"
-    rf"|class\s++(?:\[\[[^\]]*+\]\]\s*+)?({NAME})[^{{;()]*+\{{())"
+    rf"|class\s++(?:\[\[[^\]]*+\]\]\s*+)?(?<class>{NAME})[^{{;()]*+\{{(?<method>))"
 )
 
 # What stands before a JavaScript function or class that is part of an expression.
@@ -177,7 +173,7 @@ def _node_type(language: Column, before: Column, text: Column, first: Column, se
         F.when(
             second != "",
             F.when(key.isin("c++", "cpp"), F.lit("class_specifier")).when(
-                (key != "javascript") | ~expression, F.lit("class_declaration")
+                F.when(key == "javascript", ~expression).otherwise(third == ""), F.lit("class_declaration")
             ),
         )
         .when(
@@ -201,38 +197,86 @@ def brace_depths(parts: Column, at: Column) -> Column:
     return running_sum(F.transform(at, change))
 
 
-def braced_definitions(language: Column, parts: Column, at: Column, depths: Column) -> Column:
-    """Headers with the text up to the brace that closes them.
+def _level(code: Column) -> Column:
+    return F.shiftright(code, 32)
+
+
+def _token(code: Column) -> Column:
+    return F.shiftright(code.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+
 
-    Depth changes by at most one per token, so the closing brace of a token at
-    depth d is the first later token whose depth is d - 1.
+def _opens_level(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(1)) == 0
+
+
+def nesting(language: Column, parts: Column, at: Column, depths: Column) -> Column:
+    """Headers as ``array<struct<i, close, around>>``: their token, the brace that closes them, in Java the token they stand in.
+
+    Sorted by level and place, an opening brace is followed by the one that closes it, as none
+    of the same level comes between them. In Java each opening brace also stands before all
+    that is directly inside it, so the last such entry of the same level is what is around.
     """
+    java = F.lower(language) == "java"
+
+    def code(level: Column, i: Column, inner: int) -> Column:
+        return F.shiftleft(level.cast("long"), 32) + i * 2 + inner
+
+    def codes(_, i: Column) -> Column:
+        token, depth = _part(parts, i, 1), F.get(depths, i)
+        return (
+            F.when(token == "}", F.array(code(depth + 1, i, 1)))
+            .when(~F.endswith(token, F.lit("{")), empty_array("bigint"))
+            .when(java, F.array(code(depth, i, 1), code(depth + 1, i, 0)))
+            .otherwise(F.array(code(depth, i, 1)))
+        )
+
+    def headers(entries: Column, owners: Column, ordinals: Column) -> Column:
+        def header(x: Column, k: Column) -> Column:
+            after, owner = F.get(entries, k + 1), F.get(owners, F.get(ordinals, k) - 1)
+            return F.when(
+                ~_opens_level(x) & (F.length(_part(parts, _token(x), 1)) > 1),
+                F.struct(
+                    _token(x).alias("i"),
+                    F.when((_level(after) == _level(x)) & ~_opens_level(after), _token(after)).alias("close"),
+                    F.when(_level(owner) == _level(x), _token(owner)).alias("around"),
+                ),
+            )
+
+        return F.array_sort(F.filter(F.transform(entries, header), lambda h: h["close"].isNotNull()))
+
+    def of(entries: Column) -> Column:
+        counts = F.transform(entries, lambda x: F.when(_opens_level(x), F.lit(1)).otherwise(F.lit(0)))
+        owners = F.when(java, F.filter(entries, _opens_level))
+        return let(
+            F.struct(owners.alias("owners"), F.when(java, running_sum(counts)).alias("ordinals")),
+            lambda o: headers(entries, o["owners"], o["ordinals"]),
+        )
 
-    def header(end: Column, i: Column) -> Column:
-        before, text, first, second, third = (_part(parts, i, k) for k in range(STRIDE))
-        later = F.slice(depths, i + 2, F.size(depths))
-        skip = F.array_position(later, F.get(depths, i) - 1).cast("int")
+    return let(F.sort_array(F.flatten(F.transform(at, codes))), of)
+
+
+def braced_definitions(language: Column, parts: Column, at: Column, depths: Column) -> Column:
+    """Headers with the text up to the brace that closes them; a constructor bears the name of the type it stands in."""
+
+    def definition(h: Column) -> Column:
+        before, text, first, second, third = (_part(parts, h["i"], k) for k in range(STRIDE))
+        end, close = F.get(at, h["i"]), F.get(at, h["close"])
+        kind = _node_type(language, before, text, first, second, third)
+        own_type = F.coalesce(_part(parts, h["around"], 3) == third, F.lit(False))
         name = F.when(first != "", first).when(second != "", second).when(third != "", third)
         return F.when(
-            F.length(text) > 1,
-            F.struct(
-                _node_type(language, before, text, first, second, third).alias("kind"),
-                F.coalesce(name, F.lit(fixed.ANONYMOUS)).alias("name"),
-                (offset_of(end) - F.length(text)).alias("start"),
-                (line_of(end) - line_breaks(text)).alias("line"),
-                F.get(at, F.when(skip > 0, i + skip)).alias("close"),
+            (kind != "constructor_declaration") | own_type,
+            _segment(
+                kind,
+                F.coalesce(name, F.lit(fixed.ANONYMOUS)),
+                offset_of(end) - F.length(text),
+                offset_of(close),
+                line_of(end) - line_breaks(text),
+                line_of(close),
             ),
         )
 
-    def complete(h: Column) -> Column:
-        return h.isNotNull() & h["kind"].isNotNull() & h["close"].isNotNull()
-
-    return F.transform(
-        F.filter(F.transform(at, header), complete),
-        lambda h: _segment(
-            h["kind"], h["name"], h["start"], offset_of(h["close"]), h["line"], line_of(h["close"])
-        ),
-    )
+    return F.filter(F.transform(nesting(language, parts, at, depths), definition), lambda s: s.isNotNull())
 
 
 # --- matches of a pattern, and whole files ----------------------------------
@@ -288,7 +332,21 @@ def or_fallback(found: Column, content: Column, language: Column, file_name: Col
     )
 
 
-def code_of(content: Column, segment: Column) -> Column:
-    """Text of a segment; pattern matches are trimmed."""
-    raw = F.substring(content, segment["start_char"] + 1, segment["end_char"] - segment["start_char"])
+def units(content: Column) -> Column:
+    """The text as bytes of equal width per character, so that a piece is found without counting from the start."""
+    ascii_only = F.octet_length(content) == F.length(content)
+    return F.struct(
+        F.when(ascii_only, F.lit(1)).otherwise(F.lit(4)).alias("width"),
+        F.when(ascii_only, content.cast("binary")).otherwise(F.encode(content, "UTF-32")).alias("bytes"),
+    )
+
+
+def piece_of(text: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` to ``end`` of what ``units`` made."""
+    piece = F.substring(text["bytes"], start * text["width"] + 1, (end - start) * text["width"])
+    return F.when(text["width"] == 1, piece.cast("string")).otherwise(F.decode(piece, "UTF-32"))
+
+
+def code_of(raw: Column, segment: Column) -> Column:
+    """Text of a segment from what lies at its place; pattern matches are trimmed."""
     return F.when(segment["node_type"] == fixed.SCRIPT_MATCH_TYPE, strip(raw)).otherwise(raw)

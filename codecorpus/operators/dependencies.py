@@ -49,9 +49,9 @@ def modules_of_imports(imports: DataFrame) -> DataFrame:
 
 
 def extract_calls(files: DataFrame, exclude_keywords: bool = True) -> DataFrame:
-    """One row per call: name and matched text."""
+    """One row per call: name, matched text, offset, and line counted from 1."""
     found = F.explode(_calls(exclude_keywords)).alias("call")
-    return masked(files).select(*FILE, found).select(*FILE, "call.name", "call.text")
+    return masked(files).select(*FILE, found).select(*FILE, "call.*")
 
 
 def extract_variables(files: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import segments as rules
+from codecorpus.functions.arrays import let
 from codecorpus.functions.language import base_name
 from codecorpus.functions.text import split_lines
 from codecorpus.operators.common import FILE, definitions_column, language_column, segmented, tokenised
@@ -20,17 +21,19 @@ POSITIONS = ("start_char", "end_char", "start_line", "end_line")
 
 def _rows(files: DataFrame, found: Column) -> DataFrame:
     """Explode an array of segments with their code."""
-    content = F.col("content")
-    with_code = F.transform(
-        found,
-        lambda s: F.struct(
-            s["node_type"].alias("node_type"),
-            s["name"].alias("name"),
-            rules.code_of(content, s).alias("code"),
-            *[s[p].alias(p) for p in POSITIONS],
-        ),
-    )
-    return files.select(*FILE, F.posexplode(with_code).alias("segment_no", "segment")).select(
+
+    def with_code(text: Column) -> Column:
+        return F.transform(
+            found,
+            lambda s: F.struct(
+                s["node_type"].alias("node_type"),
+                s["name"].alias("name"),
+                rules.code_of(rules.piece_of(text, s["start_char"], s["end_char"]), s).alias("code"),
+                *[s[p].alias(p) for p in POSITIONS],
+            ),
+        )
+
+    return files.select(*FILE, F.posexplode(let(rules.units(F.col("content")), with_code)).alias("segment_no", "segment")).select(
         *FILE, "segment_no", "segment.*"
     )
 

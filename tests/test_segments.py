@@ -248,7 +248,7 @@ def test_imports_calls_and_uses(files_of):
     calls = sorted((r.path, r.name) for r in dependencies.extract_calls(files).collect())
     assert calls == sorted(
         [("a.py", "f"), ("a.py", "inner"), ("a.py", "tabs")]
-        + [("a.js", n) for n in ("b", "k", "foo", "require", "test")]
+        + [("a.js", n) for n in ("super", "b", "k", "foo", "require", "test")]
         + [("a.java", n) for n in ("s.equals", "go")]
     )
     tree = ast.parse(PYTHON)
@@ -280,7 +280,7 @@ def test_many_type_words_and_long_gaps(spark):
 
 def test_calls_through_this_and_blanks_of_any_number(spark):
     cases = {
-        "a.java": ("class A { void m() { super.x(); this.y(); assert ok(); new     B(); int     g(int a); return     h(1); } }", ["super.x", "this.y", "h"]),
+        "a.java": ("class A { void m() { super.x(); this.y(); assert ok(); new     B(); int     g(int a); return     h(1); } }", ["super.x", "this.y", "ok", "h"]),
         "a.js": ("class A { m() { this.go(); self.go(); if (a) { b   (1) } } }", ["this.go", "self.go", "b"]),
         "a.cpp": ("int     g(int);\nint f(int x) { return       g(x); }\n", ["g"]),
         "a.py": ("def         f(a):\n    return g(a)\n", ["g"]),
@@ -313,3 +313,60 @@ def test_imports_in_comments_and_strings_don_t_count(spark):
     for r in dependencies.extract_imports(files).collect():
         found.setdefault(r.path, []).append(r.module)
     assert {p: sorted(n) for p, n in found.items()} == {p: sorted(n) for p, (_, n) in cases.items()}
+
+
+def test_headers_of_any_depth_and_what_else_has_a_body(spark):
+    deep = "g(" * 40 + "1" + ")" * 40
+    java = "class A { void f(@X(a=@Y(b=@Z(c=@W(1)))) int x) { } @V(a=@U(@T(@S(1)))) int h() { return 1; } }\n"
+    assert [(s.node_type, s.name) for s in _definitions(spark, "a.java", java)] == [
+        ("class_declaration", "A"), ("method_declaration", "f"), ("method_declaration", "h"),
+    ]
+    found = _definitions(spark, "a.cpp", "int f(int (*g)(int (*)(int (*)(int)))) { return 1; }\nstruct S { int operator()(int x) { return x; } };\n")
+    assert [(s.name, s.start_char) for s in found] == [("f", 0), ("operator()", 64)]
+    found = _definitions(spark, "a.js", f"function f(a = {deep}, b = {{x: 1}}) {{ return a; }}\nfunction k() {{ return f(function (z = (1)) {{ }}); }}\n")
+    assert [(s.node_type, s.name) for s in found] == [
+        ("function_declaration", "f"), ("function_declaration", "k"), ("function_expression", "<anonymous>"),
+    ]
+    assert found[0].code.endswith("{ return a; }") and found[1].code.endswith("}); }")
+    types = "record R(int a) { R(int a, int b) { this(a); } }\nenum E { X(1) { int v() { return 1; } }; E(int x) { } }\ninterface I<T> { default int d() { return 1; } }\nclass C { C() { } static class D extends C { D() { super(); } } C(int x) { } }\n"
+    assert [(s.node_type, s.name) for s in _definitions(spark, "b.java", types)] == [
+        ("constructor_declaration", "R"), ("method_declaration", "v"), ("constructor_declaration", "E"), ("method_declaration", "d"),
+        ("class_declaration", "C"), ("constructor_declaration", "C"), ("class_declaration", "D"), ("constructor_declaration", "D"),
+        ("constructor_declaration", "C"),
+    ]
+    # Parentheses and braces without a pair leave what follows as it is.
+    assert [s.name for s in _definitions(spark, "b.js", "a(b;\nfunction f(x = (1)) { c) }\n}\nfunction g() { }\nfunction h( {\n")] == ["f", "g"]
+
+
+def test_call_sites(spark):
+    cases = {
+        "a.java": ("class A extends B {\n  A() { super(1); }\n  void f(@X(a=@Y(1)) int x) { assert ok(); }\n}", [("ok", 3)]),
+        "a.cpp": ("int f(int (*g)(int (*)(int))) {\n  return g(h(k()));\n}\n", [("g", 2), ("h", 2), ("k", 2)]),
+        "a.js": ("class A extends mixin(B) {\n  constructor(a = u(v(w(x(1))))) { super(a); }\n  m(a = (1)) { }\n}", [("mixin", 1), ("super", 2), ("u", 2), ("v", 2), ("w", 2), ("x", 2)]),
+        "a.py": ("@d(1)\ndef f(a=g(h(i(j(k(1)))))):\n    return é(a)\n", [("d", 1), ("g", 2), ("h", 2), ("i", 2), ("j", 2), ("k", 2), ("é", 3)]),
+    }
+    files = spark.createDataFrame([("r", p, len(t), t) for p, (t, _) in cases.items()], "repo string, path string, size long, content string")
+    rows = dependencies.extract_calls(files).collect()
+    for path, (text, expected) in cases.items():
+        assert sorted((r.name, r.line_no) for r in rows if r.path == path) == expected, path
+        assert all(text[r.start_char : r.start_char + len(r.text)] == r.text for r in rows if r.path == path)
+    used = [r.name for r in dependencies.extract_variables(files).collect()]
+    assert sorted(used) == ["a", "d", "g", "é"]  # of a head only names right after a sign
+
+
+def test_regular_expressions_after_any_number_of_blanks(spark):
+    text = "x =" + " " * 40 + "/[{]/;\nfunction f() { return" + " " * 20 + "/}/.test(s); }\nvar q = a / b; function g() { return q / 2 }\n"
+    assert [s.name for s in _definitions(spark, "a.js", text)] == ["f", "g"]
+
+
+def test_a_large_file_in_one_task(spark):
+    import time
+
+    n = 25_000
+    text = "// é\n" + "".join(f"  int m{i}(int a) {{ if (a > {i}) {{ return f(a, (b)); }} return a; }}\n" for i in range(n))
+    files = spark.createDataFrame([("r", "a.java", len(text), "class A {\n" + text + "}\n")], "repo string, path string, size long, content string").coalesce(1)
+    start = time.perf_counter()
+    assert segmentation.segment_code(files).select("name").distinct().count() == n + 1
+    assert time.perf_counter() - start < 60
+    last = segmentation.segment_code(files).filter(f"name = 'm{n - 1}'").first()
+    assert last.code.startswith(f"int m{n - 1}(int a) {{") and last.code.endswith("return a; }")
