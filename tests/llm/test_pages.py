@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codecorpus.llm.language_id import fit, identify
-from codecorpus.llm.style_tree import Page, main_text
+from codecorpus.llm.style_tree import BESIDE, CONTENT, INSIDE, MAYBE, NEUTRAL, ROLE, WEIGHTS, Page, main_text, role_of
 from codecorpus.llm.warc import derivatives, responses, write_warc
 
 SYLLABLES = {"en": ["th", "ing", "er", "ou", "wh", "ly"], "de": ["sch", "ung", "ei", "ß", "ch", "ver"], "fr": ["eau", "é", "ou", "oi", "tion", "è"]}
@@ -143,3 +143,97 @@ def test_any_cut_of_a_page_is_read():
         page = Page(whole[:at])
         page.branches()
         page.text(set())
+
+
+def test_names_tell_by_their_last_word():
+    assert {role_of(x) for x in ("sidebar", "left-sidebar", "ad-slot-1", "googleAds", "comments-area", "site-header", "related-posts", "nav_links", "cookie-notice")} == {ROLE}
+    assert {role_of(x) for x in ("image-banner", "story-related", "data-form")} == {MAYBE}
+    assert {role_of(x) for x in ("form-factor", "related-work", "has-header", "with-sidebar", "no-ads", "content", "x1", "")} == {NEUTRAL}
+
+
+WRAPPED = [
+    ('<body><div class="layout with-sidebar"><article><h1>T</h1><p>Long text of the article.</p></article></div></body>', "T Long text of the article."),
+    ('<body><div id="page" class="has-header"><div class="content"><h1>T</h1><p>Long text.</p></div></div></body>', "T Long text."),
+    ('<article><p class="form-factor">Phones fold</p><p>x</p></article>', "Phones fold x"),
+    ('<article><div class="related-work"><p>Earlier work</p></div><p>x</p></article>', "Earlier work x"),
+    ('<body><article class="teaser"><p>More</p></article><div class="body-text"><p>The long text that is meant.</p></div></body>', "More The long text that is meant."),
+    ('<body><form id="all"><div class="sidebar">s</div><article>Text of it</article></form><form>mail</form></body>', "Text of it"),
+    ('<body><div id="header"><div class="nav"><a>m</a></div><article>Text below a header that was never closed</article>', "Text below a header that was never closed"),
+    ('<body><div class="sidebar">longer than all the rest of it</div><article>Text</article><div class="ad">a long advert of this page</div></body>', "Text"),
+    ('<body><section id="comments"><article>What a reader has to say</article></section><article>Text</article></body>', "Text"),
+]
+
+
+def test_wrappers_named_like_noise_keep_their_article(spark):
+    frame = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, (h, _) in enumerate(WRAPPED)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(frame).collect()} == {i: t for i, (_, t) in enumerate(WRAPPED)}
+
+
+def test_entropy_alone_decides_unclear_names_and_labelled_parts_of_articles(spark):
+    page = (
+        '<body><article><h1>Title {0}</h1><p>The text of page {0} is its own and long enough for an article.</p>'
+        '<div class="image-banner">{1}</div><div class="box-end">{2}</div></article></body>'
+    )
+    rows = []
+    for i in range(20):
+        rows.append((i, "http://same.org/", page.format(i, "Same banner", "Same end")))
+        rows.append((100 + i, "http://own.org/", page.format(i, f"Banner {i}", f"End {i}")))
+        rows.append((200 + i, f"http://single{i}.org/", page.format(i, f"Other banner {i}", f"Other end {i}")))
+    found = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        text = f"Title {i} The text of page {i} is its own and long enough for an article."
+        assert found[i] == text
+        assert found[100 + i] == f"{text} Banner {i} End {i}"
+        assert found[200 + i] == f"{text} Other banner {i} Other end {i}"
+
+
+def test_importance_against_a_plain_count(spark):
+    """What goes on hosts of one to thirty pages, against entropies counted page by page in Python."""
+    r = random.Random(5)
+    rows = []
+    for host in range(12):
+        for i in range(r.choice([1, 2, 5, 9, 14, 30])):
+            few = r.randint(1, 4)
+            rows.append((len(rows), f"http://h{host}.org/{i}", "<body>" + f"<div class='a'>{r.randint(0, few)}</div>"
+                f"<div class='b'>{'<i>x</i>' * r.randint(1, 2)} {r.randint(0, 40)}</div><div class='c'>page {len(rows)}</div><div class='promo-teaser-promo'>{r.randint(0, 2)}</div>"))
+    threshold, share, prior = 0.3, 0.9, 8.0
+    values: dict[tuple, dict] = {}
+    for _, url, source in rows:
+        page, host = Page(source), url.split("/")[2]
+        for node, (kind, style, text) in page.branches().items():
+            values.setdefault((host, node), {"kind": kind, "seen": set()})["seen"].add((page.identity(), "\n".join(style), "\n".join(text)))
+
+    def entropy(seen: list) -> float:
+        import math
+        from collections import Counter
+
+        total = 0.0
+        for side, weight in ((0, 1 - share), (1, share)):
+            n = len(seen)
+            bits = 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in Counter(x[side] for x in seen).values()) / math.log(n)
+            total += weight * bits
+        return total
+
+    of_node: dict[int, list] = {}
+    for (_, node), found in values.items():
+        of_node.setdefault(node, []).extend((s, t) for _, s, t in found["seen"])
+    gone: dict[str, set] = {}
+    decided = set()
+    for (host, node), found in values.items():
+        pool = of_node[node]
+        pooled = (len(pool) * entropy(pool) + prior) / (len(pool) + prior)
+        own = [(s, t) for _, s, t in found["seen"]]
+        low = WEIGHTS[found["kind"]] * (len(own) * entropy(own) + prior * pooled) / (len(own) + prior) < threshold
+        decided.add((found["kind"], low))
+        if low:
+            gone.setdefault(host, set()).add(node)
+    assert {(NEUTRAL, True), (NEUTRAL, False)} <= decided
+    expected = {i: Page(h).text(gone.get(u.split("/")[2], set())) for i, u, h in rows}
+    found = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected
+
+
+def test_kinds_of_branches():
+    page = Page('<body><div class="x">beside</div><main><article><h1>T</h1><p>a text that is long enough</p><div class="note">n</div></article></main><nav>m</nav></body>')
+    kinds = dict(zip(page.label, page.kind, strict=True))
+    assert (kinds["div x"], kinds["article"], kinds["div note"], kinds["nav"], kinds["p"]) == (BESIDE, CONTENT, INSIDE, ROLE, CONTENT)
