@@ -170,7 +170,7 @@ def judged(
     fertility_band: float = 8.0,
     entropy_band: float = 4.0,
     byte_share: float = 0.05,
-    least_documents: int = 30,
+    prior_documents: float = 30.0,
     across_scripts: float = 0.1,
 ) -> DataFrame:
     """Measures and verdict of every document; ``model`` is a piece model with byte fallback.
@@ -184,11 +184,12 @@ def judged(
     the tenths) of each measure, per language, or per script where the language is null or
     blank. Rejected is: entropy below median - entropy_band spreads; fertility above, or
     characters per token outside, fertility_band spreads, widened for texts of few tokens; a
-    byte share above the median by ``byte_share`` and fertility_band spreads. A language of
-    fewer than ``least_documents`` such documents is judged by the bands of the document's
-    script, and a script of fewer by those of the whole table, however few its documents are;
-    there a spread is at least ``across_scripts`` of the median, as sound texts of another
-    script are further apart than those of one. So every document is judged where any passes the base rule. ``reason`` names what failed.
+    byte share above the median by ``byte_share`` and fertility_band spreads. Medians and spreads
+    of a script are drawn towards those of the whole table, and those of a language towards
+    its script's: of n documents the own figure has the weight n² / (n² + prior_documents²), so a band moves
+    smoothly with their number, and a handful, odd ones among them, decides next to nothing. A language's or script's spread is at least a hundredth of its median, the whole
+    table's ``across_scripts`` of it, as sound texts of another script are further apart than those of one. So every
+    document is judged where any passes the base rule. ``reason`` names what failed.
 
     Null and empty texts have no words and fail the base rule. Every row gets its own result.
     """
@@ -216,12 +217,11 @@ def judged(
     bands = (
         passed.groupBy("level", "band")
         .agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.1, 0.5, 0.9], 10_000).alias(f"{m}_q") for m in measures])
-        .where((F.col("level") == 2) | (F.col("n") >= least_documents))
     )
     for m in measures:
         q = F.col(f"{m}_q")
         bands = bands.withColumns({f"{m}_mid": q[1], f"{m}_spread": F.greatest((q[2] - q[0]) / 2, F.abs(q[1]) * F.when(F.col("level") == 2, across_scripts).otherwise(0.01))}).drop(f"{m}_q")
-    found = F.struct(*[c for m in measures for c in (f"{m}_mid", f"{m}_spread")])
+    found = F.struct("n", *[c for m in measures for c in (f"{m}_mid", f"{m}_spread")])
     bands = written(bands.select("level", "band", found.alias("found")), "bands")
 
     def of_level(level: int, key: str) -> DataFrame:
@@ -230,9 +230,18 @@ def judged(
     joined = (
         measured.withColumns({"by_script": F.concat(F.lit("script "), F.col("script")), "by_all": F.lit("")})
         .join(of_level(0, "band"), "band", "left").join(of_level(1, "by_script"), "by_script", "left").join(F.broadcast(of_level(2, "by_all")), "by_all", "left")
-        .withColumn("found", F.coalesce("found0", "found1", "found2"))
     )
-    joined = joined.select(*measured.columns, "found.*")
+
+    def drawn(field: str) -> Column:
+        """A language's figure drawn towards its script's, that one drawn towards the whole table's."""
+        figure = F.col(f"found2.{field}")
+        for level in ("found1", "found0"):
+            squared = F.coalesce(F.col(f"{level}.n").cast("double") * F.col(f"{level}.n"), F.lit(0.0))
+            weight = squared / (squared + prior_documents**2)
+            figure = weight * F.coalesce(f"{level}.{field}", F.lit(0.0)) + (1 - weight) * figure
+        return figure.alias(field)
+
+    joined = joined.select(*measured.columns, *[drawn(f"{m}_{kind}") for m in measures for kind in ("mid", "spread")])
     wide = fertility_band * F.sqrt(1 + 256 / tokens)
 
     def off(measure: str) -> Column:

@@ -142,6 +142,63 @@ def test_a_rare_language_is_judged_by_its_script(spark):
     assert [r.id for r in judged(few, vocabulary("piece_bpe_32k.model")).collect() if not r.kept] == [300]
 
 
+def test_verdicts_against_bands_of_sorted_measures(spark):
+    """Bands of a language, its script and the whole table from sorted lists, drawn together by their counts."""
+    r = random.Random(11)
+    rows = []
+    for i in range(260):
+        lang = r.choice(["en"] * 8 + ["fr", "fr", "de", None, " "])
+        words = brute.prose(1000 + i, r.choice([20, 60, 150, 400])).split()
+        if lang == "de":
+            words = ["".join(w) + "schaft" for w in words]
+        if i % 13 == 0:
+            words = [w + r.choice(["###", "漢字", "$%", "zzqx"]) for w in words]
+        if i % 29 == 0:
+            words = [r.choice(words[:2]) for _ in words]
+        rows.append((i, " ".join(words), lang))
+    rows += [(300 + i, "Это совсем другой язык " * 3 + " ".join(f"слово{i}{j}" for j in range(70)), "ru") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = judged(frame, vocabulary("piece_bpe_32k.model")).collect()
+    measures = ["chars_per_token", "fertility", "byte_share", "entropy"]
+
+    def name(x):
+        return x.lang if x.lang and x.lang.strip() else f"script {x.script}"
+
+    def figures(group, floor):
+        made = {}
+        for m in measures:
+            values = sorted(x[m] for x in group)
+            tenth, mid, ninetieth = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.1, 0.5, 0.9))
+            made[m] = (mid, max((ninetieth - tenth) / 2, abs(mid) * floor))
+        return len(group), made
+
+    passed = [x for x in found if not x.base_failed]
+    whole = figures(passed, 0.1)[1]
+    reasons = set()
+    for x in found:
+        band = whole
+        for group in ([y for y in passed if y.script == x.script], [y for y in passed if name(y) == name(x)]):
+            if group:
+                n, own = figures(group, 0.01)
+                band = {m: tuple((n * n * a + 900 * b) / (n * n + 900) for a, b in zip(own[m], band[m], strict=True)) for m in measures}
+        wide = 8 * math.sqrt(1 + 256 / max(1, x.n_tokens))
+        off = {m: x[m] - band[m][0] for m in measures}
+        reason = None
+        if x.base_failed:
+            reason = "base"
+        elif off["entropy"] < -4 * band["entropy"][1]:
+            reason = "entropy"
+        elif off["fertility"] > wide * band["fertility"][1]:
+            reason = "fertility"
+        elif abs(off["chars_per_token"]) > wide * band["chars_per_token"][1]:
+            reason = "chars per token"
+        elif off["byte_share"] > 0.05 + wide * band["byte_share"][1]:
+            reason = "byte fallback"
+        assert (x.reason, x.kept) == (reason, reason is None), x
+        reasons.add(reason)
+    assert len(found) == len(rows) and {None, "base"} < reasons
+
+
 @pytest.mark.parametrize("leaf", [1, 4, 40])
 def test_recounting_equals_encoding_anew(leaf):
     r, encode = random.Random(leaf), ByteEncoder(RANKS)
