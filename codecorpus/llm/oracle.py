@@ -1,5 +1,7 @@
 """Answers in SQL for the operators' queries, where SQL can express them."""
 
+from html.entities import html5
+
 OP5 = r"""
 with d as (
     select row_number() over () as r, doc_id,
@@ -45,19 +47,41 @@ def _record_id(kind: str, *parts: str) -> str:
 
 
 _TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-_HIDDEN = "script|style|noscript|template|head"
+_HIDDEN = "|".join(rf"<{x}[\s>].*?</{x}\s*>" for x in ("script", "style", "noscript", "template", "title"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The names of HTML, from Python's table of them; those without a semicolon also begin a longer word.
+_NAMES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in html5.items())
+_SHORT = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
 OP2 = rf"""
-with p as (select page_id, url, coalesce(html, '') as payload from pages
+with names as (select * from (values {_NAMES}) as t(name, value)
+), p as (select page_id, url, coalesce(html, '') as payload from pages
 ), d as (select *, {_digest("payload")} as source_digest from p
 ), r as (select *, {_record_id("response", "cast(page_id as varchar)", "url", "source_digest")} as refers_to from d
 ), c as (
     select *, {_record_id("conversion", "refers_to")} as conversion, {_record_id("metadata", "refers_to")} as metadata,
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<(?:{_HIDDEN})[\s>].*?</(?:{_HIDDEN})\s*>', ' ', 'g'),
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            regexp_replace(payload, '(?is)<!--.*?-->|{_HIDDEN}', ' ', 'g'), '(?is)<head[\s>].*?</head\s*>', ' ', 'g'),
             '[ \t\r\n\f]+', ' ', 'g'), '(?i)</?(?:{_TAGS})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') as raw
     from r
-), t as (
-    select *, replace(replace(replace(replace(replace(replace(raw, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as decoded
-    from c
+), numbered as (select row_number() over () as row, * from c
+), parts as (
+    select row, i, x, regexp_extract(x, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?') as digits, regexp_extract(x, '^[A-Za-z][A-Za-z0-9]*;') as long,
+        regexp_extract(x, '^(?:{_SHORT})') as short
+    from (select row, generate_subscripts(string_split(raw, '&'), 1) as i, unnest(string_split(raw, '&')) as x from numbered)
+), decoded_parts as (
+    select row, i, case when i = 1 then x
+        when digits <> '' then chr(cast(if(lower(digits[2]) = 'x', '0' || rtrim(digits[2:], ';'), rtrim(digits[2:], ';')) as integer)) || substr(x, length(digits) + 1)
+        when l.value is not null then l.value || substr(x, length(long) + 1)
+        when s.value is not null then s.value || substr(x, length(short) + 1)
+        else '&' || x end as text
+    from parts left join names as l on l.name = long left join names as s on s.name = short
+), joined as (select row, replace(string_agg(text, '' order by i), chr(160), ' ') as decoded from decoded_parts group by row
+), t as (select * from numbered join joined using (row)
 ), m as (
     select page_id, 'conversion' as warc_type, conversion as warc_id, refers_to, url, source_digest, 'text/plain; charset=utf-8' as content_type,
         trim(regexp_replace(regexp_replace(decoded, ' *\n[ \n]*', chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)) as block

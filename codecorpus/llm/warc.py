@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecorpus.llm.common import fresh
+
 VERSION, END = "WARC/1.0", "\r\n"
 #: The digits of base 32, as Spark counts in it and as digests are written (fixed values).
 COUNTING, WRITTEN = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Named references that a plain text shows as characters; numeric ones stay.
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-SILENT = r"(?is)<!--.*?-->|<(?:script|style|noscript|template|head)[\s>].*?</(?:script|style|noscript|template|head)\s*>"
+#: Elements that show no text, each up to its own end tag; the head after them, as scripts in it may name its end.
+SILENT = "(?is)<!--.*?-->|" + "|".join(rf"<{x}[\s>].*?</{x}\s*>" for x in ("script", "style", "noscript", "template", "title"))
+HEAD = r"(?is)<head[\s>].*?</head\s*>"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:\s[^>]*)?/?>"
 
 
@@ -31,13 +36,15 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), groups, F.lit(">"))
 
 
+def _decode(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unescape(x).replace("\xa0", " ") if x and "&" in x else x)
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles or head; a line per block; references of ``REFERENCES`` decoded."""
-    text = F.regexp_replace(html, SILENT, " ")
+    """Text of a page: no scripts, styles or head; a line per block; all character references decoded, a fixed blank as a blank."""
+    text = F.regexp_replace(F.regexp_replace(html, SILENT, " "), HEAD, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n\f]+", " "), BLOCK, "\n")
-    text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    for reference, character in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
+    text = F.pandas_udf(_decode, "string")(F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r" +", " "), F.lit(" \n"))
 
 
@@ -73,7 +80,9 @@ def derivatives(records: DataFrame, *keep: str) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("http", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
     status = F.element_at(F.split(F.element_at(lines, 1), " "), 2)
     headers = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("http-"), x))
-    text = plain_text(payload)
+    (plain,) = fresh(records, "plain")
+    records = records.withColumn(plain, plain_text(payload))
+    text = F.col(plain)
     converted = record_id(F.lit("conversion"), F.col("warc_id"))
     fields = F.concat(
         F.when(F.size(lines) > 0, F.array(F.concat(F.lit("http-status: "), F.coalesce(status, F.lit(""))))).otherwise(F.array().cast("array<string>")),

@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import random
+from html import unescape
 from pathlib import Path
 
 import brute
@@ -89,6 +90,21 @@ def test_derivatives_are_linked_and_digested(pages):
     assert sorted(map(tuple, derivatives(source, "page_id").collect()), key=repr) == sorted(map(tuple, made), key=repr)
 
 
+def test_conversions_decode_all_references_and_end_silent_elements_by_their_own_tag(spark):
+    references = ["&copy; &middot; &hearts;&amp;lt; &copy2024 &notit; &nosuch; &#8364;&#x41;&#xZ; & &&amp;", "&Aacute&eacute;&nbsp;&lt;b&gt;&#128;&#0;&#xD800;", "a&b;c &NotEqualTilde; &", ""]
+    odd = [
+        ("<head><script>x</script><title>T</title></head><body>Text", "Text"),
+        ("<head><title>T</title><script>var a='</head>';</script><style>p{}</style></head><p>Text", "Text"),
+        ("a<noscript>b<script>c</script>d</noscript>e", "a e"),
+    ]
+    rows = [(i, None, x) for i, x in enumerate(references + [h for h, _ in odd])]
+    made = derivatives(responses(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("plain", F.lit(1))), "page_id")
+    found = {r.page_id: r.block for r in made.where("warc_type = 'conversion'").collect()}
+    for i, x in enumerate(references):
+        assert found[i] == " ".join(unescape(x).replace("\xa0", " ").split(" ")).strip(" ").replace("  ", " ")
+    assert [found[len(references) + i] for i in range(len(odd))] == [t for _, t in odd]
+
+
 def test_missing_headers_and_digests_and_no_rows(spark):
     bare = spark.createDataFrame([("<urn:uuid:1>", None, None, None, None, None)], "warc_id string, target_uri string, date string, http string, payload string, payload_digest string")
     made = {r.warc_type: r for r in derivatives(bare).collect()}
