@@ -607,8 +607,10 @@ for _name, _source in (("complexity_metrics", "files"), ("complexity_metrics_of_
 oracle("complexity_check", "complexity", body="select pair_id, validator, passed, details from complexity")
 oracle("structural_check", "structure", body="select pair_id, validator, passed, details from structure")
 oracle("normalised_source_check", "languages", body=f"""
- select pair_id, 'semantic' as validator, true as passed, '{fixed.SOURCES_MATCH}' as details from languages
- where source_language = 'py' and target_language = 'py' """)
+ select pair_id, 'semantic' as validator, kind < 2 as passed,
+        case when kind < 2 then '{fixed.SOURCES_MATCH}' when kind = 2 then '{fixed.SOURCES_DIFFER}'
+             else '{fixed.SOURCES_ERROR.format(error="brackets do not pair")}' end as details
+ from (select *, (pair_id // 32) % 4 as kind from languages where source_language = 'py' and target_language = 'py')""")
 oracle("runtime_check", "timings", body=f"""
  select l_orderkey, l_partkey, l_suppkey, l_linenumber, 'performance' as validator,
         {RUN_PASSED} as passed, {RUN_DETAILS} as details from timings""")

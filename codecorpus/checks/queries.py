@@ -583,7 +583,7 @@ def structural_check(spark, sf):
 
 @query
 def normalised_source_check(spark, sf):
-    return validation.normalised_source_check(derived.code_pairs(spark, sf))
+    return validation.normalised_source_check(derived.python_pairs(spark, sf))
 
 
 @query

@@ -137,6 +137,18 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def python_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Python pairs of ``code_pairs`` in four kinds of conversion: as they are; indented twice as far and with
+    argument lists over several lines; with one more statement; with a bracket that is not closed."""
+    kind = F.floor(F.col("pair_id") / 32).cast("long") % 4
+    code = F.col("converted_code")
+    wider = F.regexp_replace(F.regexp_replace(code, r"(?m)^( +)", "$1$1"), r"\((?=\w)", "(\n  ")
+    return code_pairs(spark, sf_dir).where("original_path like '%.py' and converted_path like '%.py'").withColumn(
+        "converted_code",
+        F.when(kind == 0, code).when(kind == 1, wider).when(kind == 2, F.concat(code, F.lit("\nadded = 1\n"))).otherwise(F.concat(code, F.lit("\n("))),
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as numbered attempts at one request."""
     events = table(spark, sf_dir, "events")

@@ -141,6 +141,7 @@ COMPLEXITY_CLASSES_MISSING = "Classes missing in {target} conversion"
 COMPLEXITY_CONTROL_MISSING = "Too many control structures missing in {target} conversion"
 COMPLEXITY_TOO_SIMPLE = "Code too simplified in {target} conversion"
 COMPLEXITY_TOO_COMPLEX = "Code overly complex in {target} conversion"
+COMPLEXITY_ERROR = "Cross-language complexity analysis error: {error}. Defaulting to PASS."
 COMPLEXITY_KEPT = "Cross-language conversion from {source} to {target} maintains appropriate complexity"
 
 # --- fixed values: structural rule ------------------------------------------
@@ -177,8 +178,10 @@ STRUCTURE_PATTERNS = {
 STRUCTURE_FUNCTIONS_MISSING = "Functions missing in {target} conversion"
 STRUCTURE_CLASSES_MISSING = "Classes missing in {target} conversion"
 STRUCTURE_CONTROL_MISSING = "Control structures missing in {target} conversion"
+STRUCTURE_ERROR = "Cross-language validation error: {error}. Defaulting to PASS."
 STRUCTURE_KEPT = "Cross-language conversion from {source} to {target} preserves key structural elements"
 SOURCES_MATCH = "ASTs match."
+SOURCES_ERROR = "Error during AST comparison: {error}"
 SOURCES_DIFFER = "ASTs differ structurally."
 
 # --- fixed values: runtime rule ---------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus import fixed_values as fixed
 from codecorpus.functions import lexical
-from codecorpus.functions.arrays import empty_array, let
+from codecorpus.functions.arrays import RUNNING_SUM_BLOCK, empty_array, let
 from codecorpus.functions.language import bare_suffix
 from codecorpus.functions.prompts import fill, verdict
 from codecorpus.functions.text import count_substring, dialect
@@ -20,6 +20,15 @@ def result(passed: Column | bool, details: Column) -> Column:
     return F.struct(passed.alias("passed"), details.alias("details"))
 
 
+UNREADABLE = "text could not be read"
+
+
+def unless_unreadable(original: Column, converted: Column, otherwise: Column, template: str) -> Column:
+    """A pair with a missing text can't be judged and passes by default; the details say so."""
+    missing = original.isNull() | converted.isNull()
+    return F.when(missing, result(True, fill(template, error=F.lit(UNREADABLE)))).otherwise(otherwise)
+
+
 def _total(counts: list[Column]) -> Column:
     total = counts[0]
     for count in counts[1:]:
@@ -141,43 +150,130 @@ def structure_result(original: Column, converted: Column, source: Column, target
 # --- normalised source ------------------------------------------------------
 
 
-def normalised_python(code: Column) -> Column:
-    """Python text without comments, blank lines and spacing that means nothing.
+# Stands for a string literal while lines are joined and tidied; literals are compared on their own.
+LITERAL = "\x07"
+OPEN_STRING = "a string is not closed"
+OPEN_BRACKET = "brackets do not pair"
+BAD_INDENT = "indentation does not fit"
+PYTHON_TYPE = "struct<error:string,text:string,literals:array<string>>"
+# Blanks that mean nothing: where either side is no part of a word, unless both sides would grow into one operator.
+IDLE_BLANK = (
+    r"(?<![\w\s]) (?=\S)(?!(?<=[-+*/%@&|^=<>!:] )=)(?!(?<=\* )\*)(?!(?<=/ )/)(?!(?<=< )<)(?!(?<=> )>)(?!(?<=- )>)|(?<=\w) (?![\w\s])"
+)
+
+
+def _brackets_pair(text: Column) -> Column:
+    """Whether each bracket is closed by one of its kind; the open ones are kept as a stack."""
+
+    def step(stack: Column, bracket: Column) -> Column:
+        opened = F.translate(bracket, ")]}", "([{")
+        return (
+            F.when(bracket.isin("(", "[", "{"), F.concat(bracket, stack))
+            .when(F.substring(stack, 1, 1) == opened, F.substr(stack, F.lit(2)))
+            .otherwise(F.concat(F.lit("!"), stack))
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(lexical.BRACKET), F.lit(0)), F.lit(""), step) == ""
+
+
+def _levels(widths: Column) -> Column:
+    """Level of each line from the widths of their indentation, by a stack of the open widths.
 
-    String literals and indentation stay as they are.  Quote style, redundant
-    parentheses and the width of the indentation still count as differences.
+    -1 where a width returns to none of the open ones. Folded in blocks, as ``running_sum`` is.
     """
+    state = "struct<open:array<int>,levels:array<int>>"
+
+    def step(acc: Column, width: Column) -> Column:
+        def of(kept: Column) -> Column:
+            known, deeper = F.array_contains(kept, width), F.size(kept) == F.size(acc["open"])
+            stack = F.when(known, kept).otherwise(F.concat(kept, F.array(width)))
+            level = F.when(known | deeper, F.size(stack) - 1).otherwise(F.lit(-1))
+            return F.struct(stack.alias("open"), F.concat(acc["levels"], F.array(level)).alias("levels")).cast(state)
+
+        return let(F.filter(acc["open"], lambda x: x <= width), of)
+
+    def over(bound: Column) -> Column:
+        def add_block(done: Column, start: Column) -> Column:
+            begin = F.struct(done["open"].alias("open"), empty_array("int").alias("levels")).cast(state)
+            block = F.aggregate(F.slice(bound, start, F.lit(RUNNING_SUM_BLOCK)), begin, step)
+            return let(
+                block, lambda x: F.struct(x["open"].alias("open"), F.concat(done["levels"], x["levels"]).alias("levels")).cast(state)
+            )
 
-    def tidy(text: Column) -> Column:
-        single = F.regexp_replace(text, r"(?<=\S)[ \t]+(?=\S)", " ")
-        return F.regexp_replace(single, r"(?<![\w\s]) (?=\S)|(?<=\S) (?![\w\s])", "")
+        none = F.struct(F.array(F.lit(0)).alias("open"), empty_array("int").alias("levels")).cast(state)
+        starts = F.sequence(F.lit(1), F.size(bound), F.lit(RUNNING_SUM_BLOCK))
+        return F.when(F.size(bound) == 0, empty_array("int")).otherwise(F.aggregate(starts, none, add_block)["levels"])
 
-    def joined(parts: Column) -> Column:
-        kept = F.transform(
-            parts["found"],
-            lambda m: F.when(lexical.is_comment(m, "python"), F.lit("")).otherwise(m),
+    return let(widths, over)
+
+
+def canonical_python(code: Column) -> Column:
+    """``struct<error, text, literals>``: Python text as logical lines with their levels.
+
+    Comments and blank lines go. Lines inside brackets or after a backslash are joined, blanks that mean
+    nothing go, indentation becomes the number of open blocks. String literals are listed in order, those
+    without quotes or backslashes in double quotes. ``error`` names what no parser would take: a
+    missing text, a string or bracket that isn't closed, indentation that returns to no open
+    level, comes without a colon before it, or misses after one.
+    """
+    pattern = lexical.TOKENS["python"]
+
+    def lines_of(parts: Column) -> Column:
+        found = F.transform(parts["found"], lambda m: F.when(lexical.is_comment(m, "python"), F.lit("")).otherwise(F.lit(LITERAL)))
+        bare = F.array_join(F.zip_with(parts["between"], F.concat(found, F.array(F.lit(""))), lambda b, m: F.concat(b, m)), "")
+        literals = F.filter(parts["found"], lambda m: ~lexical.is_comment(m, "python"))
+        plain = F.transform(literals, lambda m: F.regexp_replace(m, r"""\A'([^'"\\\n]*)'\z""", '"$1"'))
+        cut = F.exists(literals, lambda m: m.rlike(r"""(?s)\A(?:\"{3}(?!.*\"{3}\z)|'{3}(?!.*'{3}\z)|\"{3,5}\z|'{3,5}\z)"""))
+        joined = F.translate(lexical.logical_lines(bare), lexical.JOINED, " ")
+        lines = F.filter(F.split(joined, "\n", -1), lambda x: x.rlike(r"\S"))
+        return let(
+            F.struct(bare.alias("bare"), plain.alias("literals"), cut.alias("cut"), lines.alias("lines")), with_levels
         )
-        return F.array_join(
-            F.zip_with(F.transform(parts["between"], tidy), F.concat(kept, F.array(F.lit(""))), lambda b, m: F.concat(b, m)), ""
+
+    def with_levels(x: Column) -> Column:
+        indent = F.transform(x["lines"], lambda y: F.regexp_extract(y, r"\A[ \t\f]*+", 0))
+        widths = F.transform(indent, lambda y: F.length(F.regexp_replace(F.translate(y, "\f", ""), r" {8}| {0,7}\t", " " * 8)))
+        tidy = F.transform(x["lines"], lambda y: F.regexp_replace(F.regexp_replace(F.trim(F.translate(y, "\t\f", "  ")), " +", " "), IDLE_BLANK, ""))
+        return let(F.struct(x.alias("x"), tidy.alias("tidy"), _levels(widths).alias("levels")), judged)
+
+    def judged(y: Column) -> Column:
+        levels, tidy = y["levels"], y["tidy"]
+
+        def odd(level: Column, i: Column) -> Column:
+            deeper = level > F.coalesce(F.get(levels, i - 1), F.lit(0))
+            return (level < 0) | (deeper != F.coalesce(F.endswith(F.get(tidy, i - 1), F.lit(":")), F.lit(False)))
+
+        wrong = F.exists(F.transform(levels, odd), lambda z: z) | F.coalesce(F.endswith(F.get(tidy, F.size(tidy) - 1), F.lit(":")), F.lit(False))
+        error = (
+            F.when(y["x"]["cut"] | y["x"]["bare"].rlike("[\"']"), F.lit(OPEN_STRING))
+            .when(~_brackets_pair(y["x"]["bare"]), F.lit(OPEN_BRACKET))
+            .when(wrong, F.lit(BAD_INDENT))
         )
+        numbered = F.zip_with(levels, tidy, lambda level, text: F.concat(level.cast("string"), F.lit(" "), text))
+        return F.struct(error.alias("error"), F.array_join(numbered, "\n").alias("text"), y["x"]["literals"].alias("literals")).cast(PYTHON_TYPE)
 
-    pattern = lexical.TOKENS["python"]
-    text = let(
-        F.struct(
-            F.split(code, pattern, -1).alias("between"),
-            F.regexp_extract_all(code, F.lit(pattern), F.lit(0)).alias("found"),
-        ),
-        joined,
+    clean = lexical.exchange(F.regexp_replace(code, r"\r\n?", "\n"), lexical.JOINED + lexical.MARK + LITERAL, "   ")
+    parts = let(
+        clean,
+        lambda c: F.struct(F.split(c, pattern, -1).alias("between"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found")),
     )
-    without_blank_lines = F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n|\z)", ""), r"\n+", "\n")
-    return F.regexp_replace(without_blank_lines, r"\A\n|\n\z", "")
+    missing = F.struct(F.lit(UNREADABLE).alias("error"), F.lit(None).cast("string").alias("text"), empty_array("string").alias("literals"))
+    return F.when(code.isNull(), missing.cast(PYTHON_TYPE)).otherwise(let(parts, lines_of))
 
 
 def normalised_source_result(original_code: Column, converted_code: Column) -> Column:
-    same = normalised_python(original_code) == normalised_python(converted_code)
-    return F.when(same, result(True, F.lit(fixed.SOURCES_MATCH))).otherwise(
-        result(False, F.lit(fixed.SOURCES_DIFFER))
-    )
+    """Whether both texts are the same logical lines; what can't be read fails, and the details say why."""
+
+    def compared(both: Column) -> Column:
+        one, two = both["one"], both["two"]
+        error = F.coalesce(one["error"], two["error"])
+        return (
+            F.when(error.isNotNull(), result(False, fill(fixed.SOURCES_ERROR, error=error)))
+            .when((one["text"] == two["text"]) & (one["literals"] == two["literals"]), result(True, F.lit(fixed.SOURCES_MATCH)))
+            .otherwise(result(False, F.lit(fixed.SOURCES_DIFFER)))
+        )
+
+    return let(F.struct(canonical_python(original_code).alias("one"), canonical_python(converted_code).alias("two")), compared)
 
 
 # --- run time ---------------------------------------------------------------

@@ -13,6 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecorpus import fixed_values as fixed
 from codecorpus.functions import rules
 from codecorpus.functions.arrays import let
 from codecorpus.functions.language import bare_suffix
@@ -47,7 +48,8 @@ def _complexity() -> Column:
         source.alias("source"),
         target.alias("target"),
     )
-    return let(both, lambda b: rules.complexity_result(b["original"], b["converted"], b["source"], b["target"]))
+    outcome = let(both, lambda b: rules.complexity_result(b["original"], b["converted"], b["source"], b["target"]))
+    return rules.unless_unreadable(original, converted, outcome, fixed.COMPLEXITY_ERROR)
 
 
 @cache
@@ -59,7 +61,8 @@ def _structure() -> Column:
         source.alias("source"),
         target.alias("target"),
     )
-    return let(both, lambda b: rules.structure_result(b["original"], b["converted"], b["source"], b["target"]))
+    outcome = let(both, lambda b: rules.structure_result(b["original"], b["converted"], b["source"], b["target"]))
+    return rules.unless_unreadable(original, converted, outcome, fixed.STRUCTURE_ERROR)
 
 
 @cache

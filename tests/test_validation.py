@@ -1,3 +1,6 @@
+import ast
+import time
+
 from codecorpus.operators import assembly, reports, requests, validation
 
 PAIR = "pair_id long, original_path string, original_code string, converted_path string, converted_code string"
@@ -75,7 +78,88 @@ def test_normalised_source(spark):
             )
         )
     )
-    assert {k: v[0] for k, v in found.items()} == {0: True, 1: False, 2: False, 3: False, 5: True}
+    assert {k: v[0] for k, v in found.items()} == {0: True, 1: False, 2: True, 3: False, 5: True}
+
+
+PROGRAM = """import os
+class A(B):
+    '''A class'''
+    def f(self, a, b={'k': [1, 2]}):
+        if a == 1 and (b or
+                       self.c):
+            x = 'one' + "two"; y = -a ** 2
+            return [x, y]
+        else:
+            while True: pass
+        return a[1:-2]
+    def g(self): return not self.f(*a, **b)
+def h(x: int = 3) -> str:
+    for i in range(10):
+        with open('p') as f:
+            yield f"{i} {x}"
+    z = lambda q: q >= 1
+    assert z != 2, \\
+        'no'
+"""
+CHANGES = [
+    lambda t: t, lambda t: t.replace("    ", "  "), lambda t: t.replace("    ", "\t"), lambda t: t.replace("self, a, b", "self,\n\n # note\n a, b").replace("[x, y]", "[x,\n  # n\n y\n]"),
+    lambda t: "# head\n\n" + t.replace(":\n", ":  # why\n\n").rstrip("\n"), lambda t: t.replace(" = ", "=").replace(" + ", "+"), lambda t: t.replace("\n", "\r\n"),
+    lambda t: t.replace("'no'", '"no"').replace("'one'", '"one"').replace("'p'", '"p"'), lambda t: t.replace("[1, 2]", "[ 1 ,2 ]").replace("a[1:-2]", "a [1 : - 2]"),
+    lambda t: t.replace("-a ** 2", "-a * *2"), lambda t: t.replace(">= 1", "> = 1"), lambda t: t.replace("'two'", "'tw'").replace("two", "tvo"),
+    lambda t: t.replace("        return a[1:-2]", "    return a[1:-2]"), lambda t: t.replace("        return a[1:-2]", "            return a[1:-2]"),
+    lambda t: t.replace("        return a[1:-2]", "          return a[1:-2]"), lambda t: t.replace("return a[1:-2]", "return (a[1:-2]"),
+    lambda t: t.replace("[x, y]", "(x, y]"), lambda t: t.replace("'one'", "'one"), lambda t: t + "def k():\n", lambda t: " " + t, lambda t: t.replace("class A(B):", "class A(B)"),
+    lambda t: t + "\n'''", lambda t: t.replace("'''A class'''", ""), lambda t: "", lambda t: t.replace("not self", "notself"),
+]
+
+
+def test_normalised_source_agrees_with_a_parser(spark):
+    """All pairs of variants of one program: the same tree, another one, or none."""
+
+    def tree(text):
+        try:
+            return ast.dump(ast.parse(text))
+        except SyntaxError:
+            return None
+
+    texts = [change(PROGRAM) for change in CHANGES]
+    trees = [tree(t) for t in texts]
+    # A class without a colon is only found by the block that follows; lone operators are no errors here, just other text.
+    known = [i for i, t in enumerate(trees) if t is None]
+    assert trees[0] and len(known) >= 8 and sum(t == trees[0] for t in trees) >= 9
+    rows = [("a.py", a, "b.py", b) for a in texts for b in texts]
+    found = outcomes(validation.normalised_source_check(pairs(spark, *rows)))
+    wrong = [
+        (i, j, found[i * len(texts) + j][1]) for i, one in enumerate(trees) for j, two in enumerate(trees)
+        if (texts[i] != texts[j] or one is not None) and found[i * len(texts) + j][0] != (one is not None and one == two)
+    ]
+    assert not wrong
+
+
+def test_what_cannot_be_read_is_an_error(spark):
+    rows = pairs(
+        spark, ("a.py", "def (", "b.py", "def ("), ("a.py", None, "b.py", "x"), ("a.py", "x", "b.py", None), ("a.py", "if x:\n    y\n  z", "b.py", "x"),
+        ("a.py", "s = 'a", "b.py", "x"), ("a.py", "def f(a,\n  b): pass", "b.py", "def f(a, b): pass"), ("a.py", "", "b.py", "# nothing"),
+    )
+    error = "Error during AST comparison: "
+    assert outcomes(validation.normalised_source_check(rows)) == {
+        0: (False, error + "brackets do not pair"), 1: (False, error + "text could not be read"), 2: (False, error + "text could not be read"),
+        3: (False, error + "indentation does not fit"), 4: (False, error + "a string is not closed"), 5: (True, "ASTs match."), 6: (True, "ASTs match."),
+    }
+    missing = pairs(spark, ("a.py", None, "b.java", "class A { }"), ("a.py", "def f(): pass", "b.java", None), ("a.rb", "x", "b.java", "x"))
+    complexity, structure = outcomes(validation.complexity_check(missing)), outcomes(validation.structural_check(missing))
+    for k in (0, 1):
+        assert complexity[k] == (True, "Cross-language complexity analysis error: text could not be read. Defaulting to PASS.")
+        assert structure[k] == (True, "Cross-language validation error: text could not be read. Defaulting to PASS.")
+    assert "maintains" in complexity[2][1] and "preserves" in structure[2][1]
+
+
+def test_long_sources_are_compared_in_linear_time(spark):
+    text = "".join(f"def f{i}(a):\n    if a:\n        return [a,\n            {i}]\n" for i in range(8_000))
+    other = text.replace("    ", "  ")
+    start = time.time()
+    found = outcomes(validation.normalised_source_check(pairs(spark, ("a.py", text, "b.py", other), ("a.py", text, "b.py", other + "x"))))
+    assert [found[i][0] for i in (0, 1)] == [True, False] and time.time() - start < 60
 
 
 def test_run_times(spark):
