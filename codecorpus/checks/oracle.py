@@ -352,7 +352,8 @@ oracle("scan_files", "files", body="""
  where path not like '%/node_modules/%' and path not like '%/.git/%' """)
 oracle("decode_text", "docs", body="select repo, path, content from docs")
 oracle("write_converted", "converted", body="select source_path, output_path, target_folder, content from converted")
-oracle("promote", "reports", body="""
+for _name in ("promote", "write_promoted"):
+    oracle(_name, "reports", body="""
  select pair_id, converted_path, case when o_orderpriority = '5-LOW' then 'despite validation error'
         when overall_passed then 'validated' else 'with warnings' end as status
  from pairs join reports using (pair_id) join orders on o_orderkey = pair_id

@@ -114,6 +114,27 @@ def test_another_target_leaves_the_first(spark, tmp_path):
     assert sorted(r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["csharp", "java"]
 
 
+def test_the_last_complete_run_is_what_is_read(spark, tmp_path):
+    base = str(tmp_path / "out")
+
+    def run(*rows):
+        return spark.createDataFrame(list(rows), "pair_id long, output_path string, content string, status string")
+
+    with pytest.raises(ValueError, match="no run"):
+        sinks.read_promoted(spark, base)
+    sinks.write_promoted(run((1, "java/a", "one", "validated"), (2, "java/b", "two", "validated")), base)
+    sinks.write_promoted(run((1, "java/a", "three", "with warnings")), base)
+    assert [tuple(r) for r in sinks.read_promoted(spark, base).collect()] == [(1, "java/a", "three", "with warnings")]
+    broken = run((1, "java/a", "four", "validated")).withColumn("content", F.raise_error(F.lit("breaks off")).cast("string"))
+    with pytest.raises(Exception, match="breaks off"):
+        sinks.write_promoted(broken, base)
+    assert [r.content for r in sinks.read_promoted(spark, base).collect()] == ["three"]
+    sinks.write_promoted(run(), base)
+    assert sinks.read_promoted(spark, base).columns == ["pair_id", "output_path", "content", "status"] and sinks.read_promoted(spark, base).isEmpty()
+    assert sinks.drop_old_runs(spark, base) == 2 and sinks.drop_old_runs(spark, base) == 0
+    assert sinks.read_promoted(spark, base).isEmpty()
+
+
 def test_two_files_of_one_path_are_an_error(spark, tmp_path):
     frame = spark.createDataFrame([("java/a.java", "1"), ("java/a.java", "2")], "output_path string, content string")
     with pytest.raises(ValueError, match="java/a.java"):
