@@ -226,6 +226,20 @@ def test_a_common_block_is_dealt_into_tiles(spark, monkeypatch):
     assert sum(r[2] for r in whole) < len(lines) - 80
 
 
+@pytest.mark.parametrize("changed", [{}, {"MOST_PAIRS": 0}, {"BUCKET": 2}])
+def test_a_line_nearer_by_sketches_than_two_alike_ones_hides_no_link(spark, monkeypatch, changed):
+    """The third line has the pairs of characters of both others but is like neither; the first two differ in 3 of 38 characters."""
+    import codecorpus.llm.line_blocks as module
+
+    for name, value in changed.items():
+        monkeypatch.setattr(module, name, value)
+    one, two = "the quick brown fo", "jumps over my dogs"
+    lines = [one + "xyz" + two, one + "uvw" + two, two + one]
+    assert [alike(lines[i], lines[j], 0.9) for i, j in ((0, 1), (0, 2), (1, 2))] == [True, False, False]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in without_duplicate_lines(rows).collect()} == {0: 1, 1: 0, 2: 1}
+
+
 def test_a_row_many_times_over(spark):
     rows = spark.range(2000).selectExpr("7L as doc_id", "'one line of text\nanother' as text", "id as numbers")
     left = without_duplicate_lines(rows).collect()
