@@ -10,7 +10,7 @@ from codecorpus.functions import lexical
 from codecorpus.functions.arrays import RUNNING_SUM_BLOCK, empty_array, let
 from codecorpus.functions.language import bare_suffix
 from codecorpus.functions.prompts import fill, verdict
-from codecorpus.functions.text import count_substring, dialect
+from codecorpus.functions.text import by_alphabet, count_substring
 
 RESULT_TYPE = "struct<passed:boolean,details:string>"
 
@@ -102,7 +102,8 @@ def structural_elements(code: Column, suffix: Column) -> Column:
         """The name of each match, from whichever alternative found it."""
         groups = pattern.count("(") - pattern.count("(?") - pattern.count(r"\(")
         found = [
-            F.regexp_extract_all(code, F.lit(dialect(pattern)), F.lit(i)) for i in range(1, groups + 1)
+            by_alphabet(code, pattern, lambda p, i=i: F.regexp_extract_all(code, F.lit(p), F.lit(i)))
+            for i in range(1, groups + 1)
         ]
         merged = found[0]
         for other in found[1:]:
@@ -125,7 +126,7 @@ def has_structure(code: Column, suffix: Column) -> Column:
     def field(name: str) -> Column:
         chain = None
         for language, patterns in fixed.STRUCTURE_PATTERNS.items():
-            found = code.rlike(dialect("|".join(f"(?:{p})" for p in patterns[name])))
+            found = by_alphabet(code, "|".join(f"(?:{p})" for p in patterns[name]), code.rlike)
             chain = F.when(suffix == language, found) if chain is None else chain.when(suffix == language, found)
         return chain.otherwise(F.lit(False)).alias(name)
 

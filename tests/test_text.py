@@ -127,3 +127,28 @@ def test_suffixes_languages_and_bands(spark):
     assert [(r.priority, r.difficulty) for r in classify.priority_band(bands).collect()] == [
         (3, "low"), (3, "low"), (2, "medium"), (2, "medium"), (1, "high")
     ]
+
+
+def test_counts_take_bytes_and_look_behinds_only_blanks(spark, monkeypatch):
+    """Lengths in characters walk through the text, and a look-behind at every character was most of the time of calls."""
+    from codecorpus.functions import lexical
+
+    patterns = []
+    monkeypatch.setattr(lexical, "replace_matches", lambda t, pattern, change: patterns.append(pattern))
+    lexical.mark_blanks(F.col("t"), r"\w", r"\s")
+    assert patterns[0].startswith(r"(?=\s)(?<=\w)")
+    for counted in (text.newline_count(F.col("t")), text.count_substring(F.col("t"), "if"), lexical.line_breaks(F.col("t"))):
+        assert "octet_length(t)" in str(counted) and "char_length" not in str(counted) and "(length(" not in str(counted)
+
+
+def test_unicode_classes_only_where_a_text_needs_them(spark):
+    """ASCII text is matched without them; other text has its Unicode names and spaces all the same."""
+    from codecorpus.functions.rules import has_structure, structural_elements
+
+    rows = spark.createDataFrame([("def f(x):\n\x0ba = 1",), ("def gr\u00f6\u00dfe\u00a0(x):\n  \u00e4\u2003= 1",), (None,)], "t string")
+    found = structural_elements(F.col("t"), F.lit("py"))
+    has = has_structure(F.col("t"), F.lit("py"))["functions"]
+    assert [tuple(r) for r in rows.select(found["functions"], found["variables"], has).collect()] == [
+        (["f"], ["a"], True), (["gr\u00f6\u00dfe"], ["\u00e4"], True), (None, None, None),
+    ]
+    assert "(?d)def" in str(found) and "(?dU)def" in str(found)
