@@ -1,4 +1,5 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,26 @@ def test_limits_are_off_unless_given_and_what_they_leave_out_is_counted(spark):
     assert whole.count() == 150 and whole.where(F.length("content") < len(long_file)).isEmpty()
     left = conversion.left_out(files, max_lines=1_000, max_files=100).first()
     assert (left.files, left.left_out, left.truncated) == (150, 50, 100)
+
+
+def test_scanned_trees_hold_a_part_of_the_files_and_go(spark, tmp_path, monkeypatch):
+    """Never more files on disk at once than one part; all files are scanned, whatever the number of parts."""
+    from codecorpus.checks import queries
+
+    spark.sql("select id as o_orderkey, id % 7 as o_custkey from range(120)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "select id % 100 as l_orderkey, id % 13 as l_partkey, id % 11 as l_suppkey, cast(id % 5 as int) as l_linenumber from range(300)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = sorted(map(tuple, queries.scan_files(spark, str(tmp_path)).collect()))
+    roots, held, export = [], [], queries.sinks.export_tree
+
+    def exported(files, root, path):
+        roots.append(root)
+        held.append(export(files, root, path))
+        return held[-1]
+
+    monkeypatch.setattr(queries, "TREE_FILES", 20, raising=False)
+    monkeypatch.setattr(queries.sinks, "export_tree", exported)
+    assert sorted(map(tuple, queries.scan_files(spark, str(tmp_path)).collect())) == whole and len(whole) > 50
+    assert sum(held) == 100 and len(held) == 5 and max(held) < 40
+    assert not any(Path(root.removeprefix("file:")).exists() for root in roots)
