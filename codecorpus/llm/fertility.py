@@ -118,6 +118,9 @@ def window_entropies(tokens: np.ndarray, sizes: np.ndarray, vocabulary: int) ->
     return np.bincount(row, weights=bits, minlength=len(sizes)) / np.maximum(count, 1)
 
 
+#: Characters of texts measured at a time; arrays over their tokens are most of a task's memory.
+SLICE = 1_000_000
+
 _MEASURED = (
     "id string, kid long, kh long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double"
@@ -127,7 +130,7 @@ _MEASURED = (
 def _measure(model: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordTokens(model)
-        for frame in in_slices(frames, "text", 4_000_000):
+        for frame in in_slices(frames, "text", SLICE):
             words, counts, symbols, repeats = [], [], [], []
             for text in frame.text:
                 raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""

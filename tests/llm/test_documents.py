@@ -238,3 +238,16 @@ def test_edits_of_a_table(docs, tokenizer):
             assert r.c[side] == len(tokenizer.encode(value, add_special_tokens=False).ids)
         assert r.edits or r.c.leaves_read == 0
     assert framed.limit(0).select(edited_counts(F.col("text"), F.col("tree"), F.col("edits"), RANKS)).count() == 0
+
+
+def test_a_task_measures_a_million_characters_at_a_time():
+    """Memory follows the slice, results don't: one frame of long texts comes in pieces, with the rows it had."""
+    import pandas as pd
+
+    from codecorpus.llm.fertility import _measure
+    from codecorpus.llm.queries import vocabulary
+
+    texts = ["some words of a text " * 30_000, "other words here " * 36_000, "", None, "last " * 120_000]
+    frame = pd.DataFrame({"id": list("abcde"), "kid": range(5), "kh": range(5), "text": texts, "lang": "en"})
+    found = list(_measure(vocabulary("piece_bpe_32k.model"))(iter([frame])))
+    assert len(found) > 1 and pd.concat(found).n_words.tolist() == [150_000, 108_000, 0, 0, 120_000]
