@@ -85,3 +85,25 @@ def database():
 def test_query_gives_the_answer_in_sql(spark, database, name):
     assert name in oracle_sql()
     assert check.compare(spark, database, SMALL, name).startswith("ok")
+
+
+def tiny_tables(spark, folder):
+    """Two orders of two line items each; the second order comes twice."""
+    orders = [(8, 1), (10, 2), (10, 2)]
+    items = [(8, 1, 1, 1), (8, 2, 1, 3), (10, 3, 1, 1), (10, 4, 1, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_answers_meet_segments_that_were_found_once(spark, tmp_path, monkeypatch):
+    folder, calls, find = tiny_tables(spark, str(tmp_path)), [], segmentation.segment_code
+    monkeypatch.setattr(segmentation, "segment_code", lambda files: calls.append(1) or find(files))
+    attached = queries()["attach_responses"](spark, folder).collect()
+    assert len(calls) == 1
+    left = queries()["unanswered_segments"](spark, folder).collect()
+    assert len(calls) == 2
+    # Each segment of the second order stands twice and meets the answers of both; names in _3 got an empty one.
+    assert sorted(r.name for r in attached) == ["C_1", "C_2"] + ["C_4"] * 4 + ["f_1_1"] + ["f_3_1"] * 4
+    assert all(r.response == f"// converted {r.name}" for r in attached)
+    assert sorted(r.name for r in left) == ["C_3", "C_3", "f_2_3", "f_4_3", "f_4_3"]
