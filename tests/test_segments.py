@@ -370,3 +370,15 @@ def test_a_large_file_in_one_task(spark):
     assert time.perf_counter() - start < 60
     last = segmentation.segment_code(files).filter(f"name = 'm{n - 1}'").first()
     assert last.code.startswith(f"int m{n - 1}(int a) {{") and last.code.endswith("return a; }")
+
+
+def test_stored_segments_are_not_found_again(spark, files_of, tmp_path):
+    from codecorpus.operators.common import FILE, segmented
+
+    made = segmented(files_of(("a.py", PYTHON), ("b.js", "function f(x) {\n  return x;\n}\nclass B { m() { } }\n")))
+    made.select(*FILE, "content", "language", "_hidden", "segments").write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    for run in (segmentation.segment_code, context.extract_context):
+        assert sorted(run(stored).collect()) == sorted(run(made.select(*FILE, "size", "content", "language")).collect())
+    plan = segmentation.segment_code(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
