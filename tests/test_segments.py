@@ -382,3 +382,16 @@ def test_stored_segments_are_not_found_again(spark, files_of, tmp_path):
         assert sorted(run(stored).collect()) == sorted(run(made.select(*FILE, "size", "content", "language")).collect())
     plan = segmentation.segment_code(stored)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_lines_join_inside_brackets_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from codecorpus.functions.lexical import OPEN_AT_LINE_END, logical_lines
+
+    flat = ["", "f(x)\ng[(1)]\n", "a)\nb", "f(g(h(1)), {2: [3]})\nx", "x[1\ty]\n" * 3000, "f(]\n"]
+    open_ = {"f(\nx)": "f(\x0bx)", "f(1)(\n2)\n": "f(1)(\x0b2)\n", "((x)\n)": "((x)\x0b)", "f((((x))))\n(\n)": "f((((x))))\n(\x0b)", "(\n": "(\n", "(a \\\nb)\n": "(a \\\x0bb)\n"}
+    rows = spark.createDataFrame([(t,) for t in [*flat, *open_]], "t string")
+    found = {r.t: (r.slow, r.joined) for r in rows.select("t", F.col("t").rlike(OPEN_AT_LINE_END).alias("slow"), logical_lines(F.col("t")).alias("joined")).collect()}
+    assert [found[t] for t in flat] == [(False, t) for t in flat]
+    assert {t: found[t] for t in open_} == {t: (True, joined) for t, joined in open_.items()}
