@@ -312,3 +312,30 @@ def test_decontamination_runs_no_python(docs, items):
     plan = contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert contamination(docs.limit(0), items.where(F.lit(False))).count() == 0
+
+
+def test_words_tell_of_long_lines_alike(monkeypatch):
+    import random
+
+    from codecorpus.llm import line_dedup
+
+    def plain(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    luck = random.Random(5)
+    for _ in range(1500):
+        a, b = ("".join(luck.choice("ab  c") for _ in range(luck.randint(0, 14))) for _ in range(2))
+        true = plain(a, b)
+        assert line_dedup.edits_at_most(a.split(" "), b.split(" "), 99) >= true
+        for most in (0, 2, 5, 99):
+            found = line_dedup.edit_distance(a, b, most)
+            assert found == true if true <= most else found > most
+    line = [f"word{i}" for i in range(60)]
+    near = [*line[:9], "new", *line[9:30], "x", *line[31:50], *line[52:]]
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *_: 1 / 0)
+    assert line_dedup.alike(" ".join(line), " ".join(near), 0.9)
