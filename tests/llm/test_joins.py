@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -15,6 +16,7 @@ from codecorpus.llm.decontaminate import contamination, without_contaminated
 from codecorpus.llm.line_dedup import alike, edit_distance, normalised, without_duplicate_lines
 from codecorpus.llm.line_blocks import EXACT, Spread, as_table, keys_of, sketches, sketches_allow
 from codecorpus.llm.ngram_join import bands_for, keep_one, ngram_join
+from codecorpus.session import _WRITTEN
 
 
 def test_components_of_random_edges_chains_and_none(spark):
@@ -32,6 +34,23 @@ def test_components_of_random_edges_chains_and_none(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pointers_are_written_to_few_files(spark):
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    known = set(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(20)
+        assert components(edges).where("root = 0").count() == 41
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rounds = [p for p in _WRITTEN[spark.sparkContext.applicationId] if p not in known]
+    assert len(rounds) > 1
+    assert max(len(list(Path(p).glob("part-*"))) for p in rounds) <= spark.sparkContext.defaultParallelism
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in [(0.8, 0.999), (0.5, 0.9), (0.9, 0.99), (0.99, 0.9)]:
         b, r = bands_for(threshold, recall)
