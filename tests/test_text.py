@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codecorpus.functions import language, text
+from codecorpus.functions import context, language, text
 from codecorpus.operators import classify, limits, lines
 from codecorpus.sources.tree import decode_text
 
@@ -152,3 +152,17 @@ def test_unicode_classes_only_where_a_text_needs_them(spark):
         (["f"], ["a"], True), (["gr\u00f6\u00dfe"], ["\u00e4"], True), (None, None, None),
     ]
     assert "(?d)def" in str(found) and "(?dU)def" in str(found)
+
+
+def test_lines_before_are_cut_from_texts_without_rare_line_ends(spark):
+    given = [*samples(), *(s.replace("\r", "").replace("\x0b", "") for s in samples(200, 7)), "a\nb\n\nc", "\n\na\n", None]
+    rows = spark.createDataFrame([(s, k) for s in given for k in (0, 1, 2, 9)], "s string, k int")
+    s, k, rare = F.col("s"), F.col("k"), F.col("rare")
+    by_lines = context.lines_before(text.split_lines(s), k)
+    cut = F.when(rare, by_lines).otherwise(context.first_lines_before(s, k))
+    found = rows.withColumn("rare", text.has_rare_line_ends(s)).select("s", by_lines.alias("a"), cut.alias("b"), "rare")
+    found = found.withColumns({"n": text.line_count(F.col("b")), "m": text.line_count(F.col("b"), rare)}).collect()
+    assert {r.rare for r in found} == {True, False, None}
+    for r in found:
+        assert r.a == r.b, r.s
+        assert r.n == r.m, r.s
