@@ -358,3 +358,45 @@ def test_words_tell_of_long_lines_alike(monkeypatch):
     near = [*line[:9], "new", *line[9:30], "x", *line[31:50], *line[52:]]
     monkeypatch.setattr(line_dedup, "edit_distance", lambda *_: 1 / 0)
     assert line_dedup.alike(" ".join(line), " ".join(near), 0.9)
+
+
+def test_many_pairs_within_some_edits_at_once(monkeypatch):
+    from codecorpus.llm import edits
+
+    monkeypatch.setattr(edits, "FEW", -(10**6))
+    r = random.Random(7)
+    for letters, longest in (("ab", 5), ("abc ", 70), ("añ漢ó", 200), ("etaoin shrdlu", 400)):
+        a = ["".join(r.choice(letters) for _ in range(r.randint(0, longest))) for _ in range(40)]
+        b = [edited(r, x, r.randint(0, 1 + len(x) // 8)) if len(x) > 9 and r.random() < 0.7 else r.choice(a) for x in a]
+        most = [r.randint(0, 1 + longest // 6) for _ in a]
+        true = [brute.levenshtein(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
+        assert edits.within(a, b, np.array(most)).tolist() == true
+
+
+def test_runs_rule_out_no_pair_that_is_alike():
+    from codecorpus.llm.line_blocks import are_alike
+    from codecorpus.llm.line_dedup import alike_by_words
+
+    r = random.Random(9)
+    a = [brute.prose(i, r.randint(3, 90)).replace("\n", " ") for i in range(150)]
+    b = [edited(r, x, r.randint(0, len(x) // 6)) for x in a[:100]] + a[:50]
+    true = [brute.levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    assert are_alike(a, b, 0.9, alike_by_words).tolist() == true
+    assert 20 < sum(true) < 90
+
+
+def test_lines_that_share_tiled_buckets_are_compared_in_one(monkeypatch):
+    """The first two lines share both buckets, the third is in the second alone; none is like another."""
+    from codecorpus.llm import line_blocks
+
+    lines = [brute.prose(i, 12).replace("\n", " ")[:60] for i in range(3)]
+    monkeypatch.setattr(line_blocks, "sketches_allow", lambda similarity: lambda table, i, j: np.ones(len(j), dtype=bool))
+    table = {"id": np.arange(3), "size": np.array([60] * 3), "line": np.array(lines, dtype=object), **sketches(lines)}
+    keys = np.empty(3, dtype=object)
+    keys[:] = [np.array([-4, 9]), np.array([-4, 9]), np.array([9])]
+    table["keys"] = keys
+    groups = [({**{c: v[:n] for c, v in table.items()}, "block": np.full(n, block)}, None) for block, n in ((-4, 2), (9, 3))]
+    asked = []
+    work = line_blocks._tile_links(0.9, lambda a, b, similarity: asked.append((lines.index(a), lines.index(b))))
+    assert work(groups) == []
+    assert sorted(map(sorted, asked)) == [[0, 1], [0, 2], [1, 2]]
