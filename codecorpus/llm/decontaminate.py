@@ -139,5 +139,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "do
     kid, kh = fresh(docs, "kid", "kh")
     one, two = row_key(F.col(id_column), F.col(text_column))
     judged = contamination(docs, items, id_column, text_column, **options)
-    bad = judged.where("contaminated").select(F.col("kid").alias(kid), F.col("kh").alias(kh)).distinct()
+    # Past an aggregate, so that the filter doesn't move down, where Spark would split the text anew for every use of its words.
+    judged = judged.groupBy(F.col("kid").alias(kid), F.col("kh").alias(kh)).agg(F.bool_or("contaminated").alias("bad"))
+    bad = judged.where("bad").select(kid, kh)
     return docs.withColumns({kid: one, kh: two}).join(bad.hint("merge"), [kid, kh], "left_anti").drop(kid, kh)

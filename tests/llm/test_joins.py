@@ -400,3 +400,8 @@ def test_lines_that_share_tiled_buckets_are_compared_in_one(monkeypatch):
     work = line_blocks._tile_links(0.9, lambda a, b, similarity: asked.append((lines.index(a), lines.index(b))))
     assert work(groups) == []
     assert sorted(map(sorted, asked)) == [[0, 1], [0, 2], [1, 2]]
+
+
+def test_the_filter_of_contaminated_texts_splits_them_once(docs, items):
+    plan = without_contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
