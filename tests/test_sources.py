@@ -174,3 +174,35 @@ def test_scanned_trees_hold_a_part_of_the_files_and_go(spark, tmp_path, monkeypa
     assert sorted(map(tuple, queries.scan_files(spark, str(tmp_path)).collect())) == whole and len(whole) > 50
     assert sum(held) == 100 and len(held) == 5 and max(held) < 40
     assert not any(Path(root.removeprefix("file:")).exists() for root in roots)
+
+
+def test_tasks_remove_the_files_of_a_tree(spark, tmp_path, monkeypatch):
+    """Nothing but empty folders is left to the driver; what a link leads to stays."""
+    root, outside, left = tmp_path / "tree", tmp_path / "outside", []
+    outside.mkdir()
+    (outside / "kept").write_text("x")
+    for folder in ("a", "a/b", "c"):
+        (root / folder).mkdir(parents=True)
+        for i in range(3):
+            (root / folder / f"_{i}.py").write_text("x")
+    (root / "c" / "link").symlink_to(outside)
+    place = sinks._place
+
+    def seen(*arguments):
+        left.extend(p for p in root.rglob("*") if not p.is_dir() or p.is_symlink())
+        return place(*arguments)
+
+    monkeypatch.setattr(sinks, "_place", seen)
+    sinks.remove_tree(spark, str(root))
+    assert left == [] and not root.exists() and (outside / "kept").exists()
+    sinks.remove_tree(spark, str(root))
+
+
+def test_few_folders_are_listed_by_as_many_tasks(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / "tree" / f"r{i}").mkdir(parents=True)
+        (tmp_path / "tree" / f"r{i}" / "x.py").write_text("x")
+    tasks, plain = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda frame: tasks.append(frame.rdd.getNumPartitions()) or plain(frame))
+    assert tree.list_tree(spark, str(tmp_path / "tree")).count() == 5
+    assert tasks == [1, 5]
